@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, packing, sharding, token_counts, token_files
+from . import decontaminate, langid, line_dedup, media, minhash, packing, sharding, span_dedup, token_counts, token_files
 from .common import table
 from .tokens import tokenizer_path
 
@@ -20,12 +20,15 @@ def _docs(op: Callable[..., DataFrame], *tokenizer: str) -> Callable[[SparkSessi
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": _docs(media.op1_media),
+        "op2_lines": _docs(line_dedup.op2_lines),
         "op3_decontaminate": lambda spark, sf_dir: decontaminate.op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op4_spans": _docs(span_dedup.op4_spans),
         "op5_jump": _docs(sharding.op5_jump),
         "op6_token_files": _docs(token_files.op6_token_files, BYTE_BPE),
         "op7_packing": _docs(packing.op7_packing, BYTE_BPE),
         "op8_token_counts": _docs(token_counts.op8_token_counts, WORD_BPE),
         "op9_language": _docs(langid.op9_language),
+        "op10_near_duplicates": _docs(minhash.op10_near_duplicates),
     }
 
 
@@ -48,4 +51,14 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+        "op10_near_duplicates": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.node = e.a),
+c AS (SELECT node AS doc_id, min(c) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
     }

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, texts
+from .common import new_path, small, texts
 from .tokens import encoder, in_groups
 
 END = 0
@@ -48,7 +48,9 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, n
         if len(seq) < 2 * LEAST:
             break
         a, b = seq[:-1], seq[1:]
-        bins = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)
+        bins = a * np.uint32(0x9E3779B1)
+        bins += b * np.uint32(0x85EBCA77)
+        bins >>= np.uint32(12)
         sample = bins[::COUNT_STEP]
         counts = np.bincount(sample, minlength=BINS)
         often = np.flatnonzero(counts >= LEAST)
@@ -166,7 +168,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
 def _started(shards: DataFrame, docs: DataFrame) -> DataFrame:
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
     first = shards.select("shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("_first"))
-    return docs.join(first, "shard").withColumn("start", F.col("_first") + F.col("within")).drop("_first", "within", "shard")
+    # the documents' ids stay where they are: the shards' starts go to them if they are counted to be few
+    return docs.join(small(first, shards.count()), "shard").withColumn("start", F.col("_first") + F.col("within")).drop("_first", "within", "shard")
 
 
 def token_at(row: dict, doc: int, n: int) -> int:

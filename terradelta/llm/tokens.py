@@ -9,16 +9,19 @@ with runs of it or with a special token's string go to the library whole.
 from __future__ import annotations
 
 import os
-import re
-from itertools import islice
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split  # noqa: E402
 
 #: Words remembered in a worker; beyond it, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: New words in one text for the library.
+JOINED = 200
+#: Marks that end words; each run of them behind letters is a pre-token.
+MARKS = ".,;:!?)"
 #: Texts longer than this many characters are worked on in blocks that end before a space.
 LONG = 1 << 20
 BARE = "\x01"
@@ -40,38 +43,72 @@ class ByteLevelEncoder:
 
     def __init__(self, path: str):
         self.tk = _single_thread(Tokenizer.from_file(path))
-        self.specials = [t.content for t in self.tk.get_added_tokens_decoder().values()]
+        specials = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         self.newline = self._whole("\n")
         # what stands outside the rule above
-        self.odd = re.compile("|".join([r"\s\s", r"[^\S \n]", BARE, *map(re.escape, self.specials)]))
+        self.odd = ["  ", " \n", "\n ", "\n\n", BARE, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), *specials]
         self.plain = self.tk.normalizer is None and len(self.newline) == 4
+        # Letters alone are one pre-token, so words of letters need no pattern: they go to the same model cut at newlines.
+        # That is exact if no token has a newline beside a letter.
+        self.letters = None
+        if not any("\u010a" in t and any(c.isalpha() for c in t.replace("\u010a", "")) for t in self.tk.get_vocab()):
+            self.letters = _single_thread(Tokenizer.from_file(path))
+            self.letters.model._resize_cache(0)  # words come here once
+            self.letters.pre_tokenizer = Sequence([Split("\n", "merged_with_previous"), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known = self._fresh()
 
     def _fresh(self) -> dict[str, bytes]:
         return {"": self._whole(" "), "\n": self.newline, BARE: b""}
 
+    def _forget(self) -> None:
+        """Short words stay: they are the common ones."""
+        kept = {k: v for k, v in self.known.items() if len(k) < 8}
+        self.known = self._fresh() | (kept if len(kept) < REMEMBERED // 2 else {})
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _encode(self, tk: Tokenizer, words: list[str]) -> None:
+        """Learns words: each with its space, if it has one, and a newline behind it, many in one text."""
+        lines = [f"{x[1:]}\n" if x[0] == BARE else f" {x}\n" for x in words]
+        parts = ["".join(lines[i : i + JOINED]) for i in range(0, len(lines), JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in tk.encode_batch_fast(parts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
+        if len(ends) != len(words):
+            raise RuntimeError("the tokenizer joins words over a newline")
+        raw, at = ids.tobytes(), 0
+        for x, e in zip(words, (4 * ends).tolist(), strict=True):
+            self.known[x] = raw[at:e]
+            at = e + 4
+
     def _learn(self, new: list[str]) -> None:
-        end = int(np.frombuffer(self.newline, "<u4")[0])
-        for words, made in ((w := [x for x in new if x[0] != BARE], "".join([f" {x}\n" for x in w])), (w := [x for x in new if x[0] == BARE], "".join([f"{x[1:]}\n" for x in w]))):
-            if not words:
-                continue
-            ids = np.array(self.tk.encode_batch_fast([made], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == end)
-            if len(ends) != len(words):
-                raise RuntimeError("the tokenizer joins words over a newline")
-            raw, at = ids.tobytes(), 0
-            for x, e in zip(words, ends.tolist(), strict=True):
-                self.known[x] = raw[4 * at : 4 * e]
-                at = e + 1
+        known = self.known
+        simple, rest, marked = [], [], []
+        for x in new:
+            body = x[1:] if x[0] == BARE else x
+            if body.isalpha():
+                simple.append(x)
+            elif (core := x.rstrip(MARKS)) and core != x and (core[1:] if core[0] == BARE else core).isalpha():
+                marked.append((x, core))  # letters, then marks: two pre-tokens
+            else:
+                rest.append(x)
+        if self.letters is None:
+            self._encode(self.tk, new)
+            return
+        need = {c for _, c in marked}.difference(known).difference(simple)
+        if simple or need:
+            self._encode(self.letters, [*simple, *need])
+        marks = {BARE + x[len(c) :] for x, c in marked}.difference(known)
+        if marks or rest:
+            self._encode(self.tk, [*marks, *rest])
+        for x, c in marked:
+            known[x] = known[c] + known[BARE + x[len(c) :]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         cut: list[tuple[int, str]] = []
         for i, t in enumerate(texts):
-            if not self.plain or self.odd.search(t):
+            if not self.plain or any(x in t for x in self.odd):
                 out[i] = self._whole(t)
             elif len(t) > LONG:
                 out[i] = b"".join([self._joined([(0, x)])[0] for x in blocks(t)])
@@ -84,12 +121,9 @@ class ByteLevelEncoder:
     def _joined(self, texts: list[tuple[int, str]]) -> list[bytes]:
         cut = [f"{BARE}{t}".replace("\n", f" \n {BARE}").split(" ") for _, t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = self._fresh()
-        met = set().union(*cut).difference(self.known)
-        if met:
-            words = iter(met)
-            while some := list(islice(words, 20_000)):
-                self._learn(some)
+            self._forget()
+        if met := set().union(*cut).difference(self.known):
+            self._learn(list(met))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in cut]
 

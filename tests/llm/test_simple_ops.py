@@ -137,7 +137,7 @@ def test_encoder_is_the_library(monkeypatch):
 @given(st.lists(st.text(st.sampled_from(list("ab.,' \n\té½²\x01\x1c ́X")), max_size=30), max_size=5))
 def test_encoders_by_property(many):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(BYTE)(many)] == [_bytes().encode(t, add_special_tokens=False).ids for t in many]
-    assert token_counts.Counts(WORD, [], b"")(many) == [len(_words().encode(t, add_special_tokens=False)) for t in many] if many else True
+    assert _cache.setdefault("c", token_counts.Counts(WORD, [], b""))(many) == [len(_words().encode(t, add_special_tokens=False)) for t in many] if many else True
 
 
 _cache = {}

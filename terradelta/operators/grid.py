@@ -237,8 +237,8 @@ def scored_tiles(tiles: DataFrame, scorer: Callable[[np.ndarray, np.ndarray], np
         for batch in batches:
             rows = batch.to_pylist()
             shape = (len(rows), rows[0]["channels"], rows[0]["size"], rows[0]["size"]) if rows else (0,) * 4
-            t1, t2 = (np.array([r[n] for r in rows], np.float32).reshape(shape) for n in ("t1", "t2"))
+            t1, t2 = (np.array([r[n] for r in rows], np.float64).reshape(shape) for n in ("t1", "t2"))
             logits = scorer(t1, t2).reshape(len(rows), -1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keys), pa.array(list(logits.astype(np.float32)), pa.list_(pa.float32()))], [*keys, "logits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keys), pa.array(list(logits.astype(np.float64)), pa.list_(pa.float64()))], [*keys, "logits"])
 
     return tiles.mapInArrow(run, schema)

@@ -68,7 +68,7 @@ def index_scorer(weights: list[float] | None = None, bias: float = 0.0):
     less green means change."""
 
     def score(t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
-        w = np.zeros(t1.shape[1], np.float32)
+        w = np.zeros(t1.shape[1])
         if weights is not None:
             w[:] = weights
         else:
@@ -98,7 +98,7 @@ def predict_change(pairs: DataFrame, channels: list[str], stats: dict[str, tuple
     plane = lambda v: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(channels) - 1)), lambda c: F.transform("p", lambda p: F.get(p[v], c))))
     rows = rows.select(*where, plane("v1").alias("t1"), plane("v2").alias("t2"), F.lit(len(channels)).alias("channels"), F.lit(tile).alias("size"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*where).schema)
-    logits = scored_tiles(rows, scorer or index_scorer(), where, f"{kinds}, logits array<float>")
+    logits = scored_tiles(rows, scorer or index_scorer(), where, f"{kinds}, logits array<double>")
     at = logits.select(*where, F.posexplode("logits").alias("_at", "logit"))
     at = at.withColumn("y", (F.col("row_start") + F.floor(F.col("_at") / tile)).cast("int")).withColumn("x", (F.col("col_start") + F.col("_at") % tile).cast("int"))
     return blend(at, keys, tile, height, width)

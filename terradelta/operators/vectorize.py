@@ -21,7 +21,7 @@ def change_polygons(members: DataFrame, keys: list[str], pixel_area: float, min_
     """Per component: mean probability of its pixels and its area; those below the least area are dropped."""
     out = members.groupBy(*keys, "component").agg(F.avg("prob").alias("confidence"), F.count("*").alias("n_pixels"))
     out = out.withColumn("area_m2", F.col("n_pixels") * F.lit(float(pixel_area))).filter(F.col("area_m2") >= min_area)
-    return out.withColumn("detection_period", F.lit(detection_period).cast("string"))
+    return out if "detection_period" in keys else out.withColumn("detection_period", F.lit(detection_period).cast("string"))
 
 
 def rings(cells: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -74,7 +74,7 @@ def _area(ring: list[tuple[float, float]]) -> float:
 
 def polygon_rings(members: DataFrame, keys: list[str], header: dict) -> DataFrame:
     """Per component ``rings``: lists of (easting, northing), the outer ring first. A task holds one component's pixels."""
-    schema = members.select(*keys, "component").schema.add("rings", "array<array<array<double>>>")
+    schema = members.select(*keys, "component", F.array(F.array(F.array(F.lit(0.0)))).alias("rings")).schema
     x0, y0, dx, dy = (header[k] for k in ("x0", "y0", "res_x", "res_y"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:

@@ -211,7 +211,7 @@ def _kernel_sql(weight: str, reach: int) -> str:
     w = lambda d: weight.replace("{d}", f"({d})")
     return f"""WITH {V.TILE_SQL}, g AS (SELECT a::INT AS y, b::INT AS x, b * 1.25 + 0.3 AS u, a * 1.25 + 0.6 AS t FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b)),
 n AS (SELECT raster, g.y, g.x, {w('u - s.x')} * {w('t - s.y')} AS w, v FROM g JOIN tile s ON s.x BETWEEN floor(u) + {1 - reach} AND floor(u) + {reach} AND s.y BETWEEN floor(t) + {1 - reach} AND floor(t) + {reach})
-SELECT raster, y, x, round(sum(w * v) / sum(w), 4) + 0.0::DOUBLE AS value FROM n GROUP BY 1, 2, 3"""
+SELECT raster, y, x, round((sum(w * v) / sum(w))::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS value FROM n GROUP BY 1, 2, 3"""
 
 
 def _resampled(spark, sf, method: str):
@@ -466,7 +466,7 @@ def detection_latency(spark, sf):
     return validate.detection_latency(series, "2018-03", 0.9, ["area"])
 
 
-@query(f"""WITH {V.TILE_SQL} SELECT raster, y, x, round(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w)::DOUBLE / (max(v) OVER w - min(v) OVER w) ELSE 0 END, 5) AS r FROM tile WINDOW w AS (PARTITION BY raster)""")
+@query(f"""WITH {V.TILE_SQL} SELECT raster, y, x, round((CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w)::DOUBLE / (max(v) OVER w - min(v) OVER w)::DOUBLE ELSE 0 END)::FLOAT::DOUBLE, 5) AS r FROM tile WINDOW w AS (PARTITION BY raster)""")
 def rgb_stretch(spark, sf):
     out = validate.rgb_stretch(V.tiles(spark, sf), ["raster"], ["v"])
     return out.select("raster", "y", "x", F.round(F.col("r").cast("double"), 5).alias("r"))
@@ -477,3 +477,37 @@ def latency_plot_data(spark, sf):
     month = F.concat(F.lit("2018-"), F.lpad((F.col("label") + 1).cast("string"), 2, "0"))
     out = validate.latency_plot(V.tiles(spark, sf).select(month.alias("year_month"), "prob"), [])
     return out.withColumn("year", F.round("year", 6))
+
+
+# --- training and whole runs ---
+
+
+@query()
+def trained_scorer(spark, sf):
+    """A fitted model's scores: coefficients follow the optimiser's path, so a test checks what it has learned instead."""
+    from ..operators import train
+
+    a = V.tiles(spark, sf).select("raster", "y", "x", F.col("v").alias("v_1"))
+    b = a.select((F.col("raster") - 1).alias("raster"), "y", "x", F.col("v_1").alias("v_2"))
+    rows = a.join(b, ["raster", "y", "x"]).withColumn("label", R.at_least(F.col("v_2") - F.col("v_1"), 0.1).cast("int"))
+    model = train.train_scorer(rows, ["v"], {"v": (0.0, 1.0)}, pos_weight=2.0)
+    return model.transform(train.features(rows, ["v"], {"v": (0.0, 1.0)})).select("raster", "y", "x", "label", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS tile_id, count(*) AS n_scenes, sum(json_extract_string(props, '$.k')::DOUBLE) AS cloud FROM events GROUP BY 1, 2""")
+def streaming_clearness(spark, sf):
+    """An extension: the same counts from a stream."""
+    from ..streaming.composites import arrived_clearness
+
+    return arrived_clearness(spark, f"{sf}/event[s].parquet")
+
+
+@query(f"""WITH {V.TILE_SQL}, t AS (SELECT a.raster, a.y, a.x, 4 * (b.v::DOUBLE - a.v::DOUBLE) AS logit, r.s AS r, c.s AS c FROM tile a JOIN tile b ON b.raster = a.raster + 1 AND a.y = b.y AND a.x = b.x,
+ (SELECT unnest([0, 2, 4]) AS s) r, (SELECT unnest([0, 2, 4]) AS s) c WHERE a.y >= r.s AND a.y < r.s + 4 AND a.x >= c.s AND a.x < c.s + 4)
+SELECT raster, y, x, round((sum(exp(-((y - r - 1.5) ** 2 + (x - c - 1.5) ** 2) / 2.0) / (1 + exp(-logit))) / sum(exp(-((y - r - 1.5) ** 2 + (x - c - 1.5) ** 2) / 2.0)))::FLOAT::DOUBLE, 4) AS prob FROM t GROUP BY 1, 2, 3""")
+def predict_change(spark, sf):
+    """Tiles through a scorer and back: pad, tile, score, blend."""
+    a = V.tiles(spark, sf).select("raster", "y", "x", F.col("v").alias("v_1"))
+    b = a.select((F.col("raster") - 1).alias("raster"), "y", "x", F.col("v_1").alias("v_2"))
+    out = tiling.predict_change(a.join(b, ["raster", "y", "x"]), ["v"], {"v": (0.0, 1.0 - 1e-8)}, 8, 8, tiling.index_scorer([4.0]), ["raster"], 4, 2)
+    return out.select("raster", "y", "x", F.round(F.col("prob").cast("double"), 4).alias("prob"))

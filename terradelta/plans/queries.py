@@ -209,15 +209,15 @@ def _src_targets(spark, sf):
 
 def _kernel_sql(weight: str, reach: int) -> str:
     w = lambda d: weight.replace("{d}", f"({d})")
-    return f"""WITH {V.TILE_SQL}, g AS (SELECT a::INT AS y, b::INT AS x, b * 1.25 + 0.3 AS u, a * 1.25 + 0.6 AS t FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b)),
+    return f"""WITH {V.TILE_SQL}, g AS (SELECT a::INT AS y, b::INT AS x, b * 1.25::DOUBLE + 0.3::DOUBLE AS u, a * 1.25::DOUBLE + 0.6::DOUBLE AS t FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b)),
 n AS (SELECT raster, g.y, g.x, {w('u - s.x')} * {w('t - s.y')} AS w, v FROM g JOIN tile s ON s.x BETWEEN floor(u) + {1 - reach} AND floor(u) + {reach} AND s.y BETWEEN floor(t) + {1 - reach} AND floor(t) + {reach})
-SELECT raster, y, x, round((sum(w * v) / sum(w))::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS value FROM n GROUP BY 1, 2, 3"""
+SELECT raster, y, x, round((sum(w * v) / sum(w))::FLOAT::DOUBLE, 6) + 0.0::DOUBLE AS value FROM n GROUP BY 1, 2, 3"""
 
 
 def _resampled(spark, sf, method: str):
     src, targets = _src_targets(spark, sf)
     out = grid.resample(src, targets, F.col("x") * 1.25 + 0.3, F.col("y") * 1.25 + 0.6, ["raster"], "v", method)
-    return out.select("raster", "y", "x", F.round(F.col("v").cast("double"), 4).alias("value"))
+    return out.select("raster", "y", "x", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query(_kernel_sql("greatest(1 - abs{d}, 0)", 1))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.scratch import new_path, saved, small
+
+__all__ = ["held", "new_path", "parts", "saved", "small", "table", "texts", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,51 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables.
-
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests in one process) a
-    temporary folder is made and used for the rest of the session.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("terradelta.scratch.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="terradelta-")
-        spark.conf.set("terradelta.scratch.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """An unused path in the shared folder; it is deleted when the driver's JVM ends."""
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """``df``, written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+_held: dict = {}
 
-#: A side of a join is broadcast only when it is counted and has at most this many (narrow) rows.
-BROADCAST_ROWS = 500_000
 
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are few; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def held(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between batches and tasks: one operator's memory at a time, as workers serve many in turn."""
+    if _held.get("for") != (owner, key):
+        _held.clear()
+        _held.update({"for": (owner, key), "it": make()})
+    return _held["it"]
 
 
 def texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
@@ -76,3 +40,10 @@ def utf8(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
     binary = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
     for x in binary:
         yield x.as_py() or b""
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of a slice stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -1,48 +1,5 @@
-"""Connected components of a table of links, by alternating star steps (Kiveris and others, 2014).
+"""Connected components of links, as the library has them."""
 
-A large-star step links each node's larger neighbours to the smallest node it knows, a small-star step the smaller ones;
-links only ever get shorter, and at the end each node is linked to the smallest node of its component. Links stay in
-written tables; a node with many links is pre-aggregated to its smallest neighbour, and its rows may be split by the
-adaptive join.
-"""
+from ..operators.graph import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import saved
-
-#: Steps needed grow with the logarithm of the longest path; beyond this something is wrong.
-MOST_STEPS = 60
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``links``: two columns of one orderable type. Gives ``node``, ``component`` (its smallest node) for all linked nodes.
-
-    Self-links, repeated links and links with a null are ignored; no links give no rows.
-    """
-    a, b = links.columns
-    edges = saved(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    mark = _mark(edges)
-    for _ in range(MOST_STEPS):
-        if not mark[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = saved(small.select("e.u", "e.v").filter("u != v").distinct(), "links")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Number of links and a sum over them; equal before and after a step only if the step changed nothing."""
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+__all__ = ["components"]

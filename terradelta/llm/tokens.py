@@ -1,9 +1,10 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memory of words in each worker.
 
 A byte-level BPE file without normaliser cuts a text before each single space and around each single newline whatever
-stands beside them, so the ids of a text are its words' ids in a row. A worker remembers the ids of words it has met as
-little-endian 32-bit bytes and gives the library only the new ones, many in one call. Texts with other white space,
-with runs of it or with a special token's string go to the library whole.
+stands beside them, so the ids of a text are its words' ids in a row. A worker remembers the ids of the words it has met
+in flat arrays and gives the library only the new ones, many in one call. A batch's words are looked up all at once: by
+two polynomial hashes of their bytes (about 120 bits), taken from running sums over the batch. Texts with other white
+space, with runs of it or with a special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split  # noqa: E402
 
-#: Words remembered in a worker; beyond it, the memory starts anew.
-REMEMBERED = 700_000
+from .common import held  # noqa: E402
+
+#: Words remembered in a worker (half of its table's slots); beyond it, the memory starts anew.
+SLOT_BITS = 22
+REMEMBERED = 1 << (SLOT_BITS - 1)
+#: Texts longer than this many characters are worked on in blocks that end before a space.
+LONG = 1 << 19
+#: Marks a word without a space before it.
+BARE = "\x01"
 #: New words in one text for the library.
 JOINED = 200
 #: Marks that end words; each run of them behind letters is a pre-token.
 MARKS = ".,;:!?)"
-#: Texts longer than this many characters are worked on in blocks that end before a space.
-LONG = 1 << 20
-BARE = "\x01"
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,6 +43,83 @@ def _single_thread(tk: Tokenizer) -> Tokenizer:
     return tk
 
 
+class _Hash:
+    """A polynomial hash modulo 2**64 of any ranges of a buffer: differences of running sums, moved to the same power."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.of_byte = rng.integers(1, 2**64, 256, dtype=np.uint64)
+        self.base = int(rng.integers(1, 2**62)) * 4 + 3
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __call__(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(buffer)
+        if len(self.up) < n:
+            size = max(n, 1 << 20)
+            self.up = np.multiply.accumulate(np.full(size, self.base, np.uint64))
+            self.down = np.multiply.accumulate(np.full(size + 1, pow(self.base, -1, 1 << 64), np.uint64))
+        sums = np.zeros(n + 1, np.uint64)
+        parts = self.of_byte[buffer]
+        parts *= self.up[:n]
+        np.cumsum(parts, out=sums[1:])
+        out = (sums[ends] - sums[starts]) * self.down[starts]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        return out
+
+
+class _Words:
+    """From hashes of words to their ids: open addressing in arrays."""
+
+    def __init__(self):
+        size = 1 << SLOT_BITS
+        self.a, self.b = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.at, self.n = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
+        self.pool, self.used, self.words = np.empty(1 << 20, "<u4"), 0, 0
+
+    def _slots(self, a: np.ndarray) -> np.ndarray:
+        return ((a * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 for unknown ones."""
+        out, left, slot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._slots(a)
+        while len(left):
+            there = self.a[slot]
+            hit = (there == a[left]) & (self.b[slot] == b[left])
+            out[left[hit]] = slot[hit]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Different, unknown words; ``ids`` has theirs in a row."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(sizes) - sizes
+        left, slot = np.arange(len(a)), self._slots(a)
+        while len(left):
+            free = np.flatnonzero(self.a[slot] == 0)
+            where, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            i = left[won]
+            self.a[where], self.b[where], self.at[where], self.n[where] = a[i], b[i], at[i], sizes[i]
+            on = np.ones(len(left), bool)
+            on[won] = False
+            left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+        self.used += len(ids)
+        self.words += len(a)
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and their numbers."""
+        n = self.n[slots].astype(np.int64)
+        ends = np.cumsum(n)
+        place = np.repeat(self.at[slots].astype(np.int64) - (ends - n), n)
+        place += np.arange(len(place))
+        return self.pool[place], n
+
+
 class ByteLevelEncoder:
     """Call it with texts; it gives their ids as bytes, four to an id, little-endian."""
 
@@ -51,58 +133,78 @@ class ByteLevelEncoder:
         # Letters alone are one pre-token, so words of letters need no pattern: they go to the same model cut at newlines.
         # That is exact if no token has a newline beside a letter.
         self.letters = None
-        if not any("\u010a" in t and any(c.isalpha() for c in t.replace("\u010a", "")) for t in self.tk.get_vocab()):
+        if not any("Ċ" in t and any(c.isalpha() for c in t.replace("Ċ", "")) for t in self.tk.get_vocab()):
             self.letters = _single_thread(Tokenizer.from_file(path))
             self.letters.model._resize_cache(0)  # words come here once
             self.letters.pre_tokenizer = Sequence([Split("\n", "merged_with_previous"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.hashes = _Hash(1), _Hash(2)
         self.known = self._fresh()
 
-    def _fresh(self) -> dict[str, bytes]:
-        return {"": self._whole(" "), "\n": self.newline, BARE: b""}
+    def _fresh(self) -> _Words:
+        out = _Words()
+        special = {"": self._whole(" "), "\n": self.newline, BARE: b""}
+        raw = b" ".join(x.encode() for x in special)
+        a, b, _, _ = self._hashed(raw)
+        ids = [np.frombuffer(x, "<u4") for x in special.values()]
+        out.add(a, b, np.array([len(x) for x in ids]), np.concatenate(ids))
+        return out
 
-    def _forget(self) -> None:
-        """Short words stay: they are the common ones."""
-        kept = {k: v for k, v in self.known.items() if len(k) < 8}
-        self.known = self._fresh() | (kept if len(kept) < REMEMBERED // 2 else {})
+    def _hashed(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of each word between spaces (the first is never 0), and where it starts and ends."""
+        buffer = np.frombuffer(raw, np.uint8)
+        spaces = np.flatnonzero(buffer == 32)
+        starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(buffer))
+        a, b = (h(buffer, starts, ends) for h in self.hashes)
+        return a | np.uint64(1), b, starts, ends
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, tk: Tokenizer, words: list[str]) -> None:
-        """Learns words: each with its space, if it has one, and a newline behind it, many in one text."""
+    def _encode(self, tk: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers: each word with its space, if it has one, and a newline behind it, many in one text."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lines = [f"{x[1:]}\n" if x[0] == BARE else f" {x}\n" for x in words]
         parts = ["".join(lines[i : i + JOINED]) for i in range(0, len(lines), JOINED)]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in tk.encode_batch_fast(parts, add_special_tokens=False)])
-        ends = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
+        is_end = ids == np.frombuffer(self.newline, "<u4")[0]
+        ends = np.flatnonzero(is_end)
         if len(ends) != len(words):
             raise RuntimeError("the tokenizer joins words over a newline")
-        raw, at = ids.tobytes(), 0
-        for x, e in zip(words, (4 * ends).tolist(), strict=True):
-            self.known[x] = raw[at:e]
-            at = e + 4
-
-    def _learn(self, new: list[str]) -> None:
-        known = self.known
-        simple, rest, marked = [], [], []
-        for x in new:
-            body = x[1:] if x[0] == BARE else x
-            if body.isalpha():
-                simple.append(x)
-            elif (core := x.rstrip(MARKS)) and core != x and (core[1:] if core[0] == BARE else core).isalpha():
-                marked.append((x, core))  # letters, then marks: two pre-tokens
+        return ids[~is_end], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, new: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        simple, rest = [], []
+        for i, x in enumerate(new):
+            (simple if self.letters is not None and (x[1:] if x[0] == BARE else x).isalpha() else rest).append(i)
+        # letters, then marks: two pre-tokens, each by itself
+        marked, cores, marks, other = [], [], [], []
+        for i in rest:
+            x = new[i]
+            core = x.rstrip(MARKS)
+            if self.letters is not None and core and core != x and (core[1:] if core[0] == BARE else core).isalpha():
+                marked.append(i)
+                cores.append(core)
+                marks.append(BARE + x[len(core) :])
             else:
-                rest.append(x)
-        if self.letters is None:
-            self._encode(self.tk, new)
-            return
-        need = {c for _, c in marked}.difference(known).difference(simple)
-        if simple or need:
-            self._encode(self.letters, [*simple, *need])
-        marks = {BARE + x[len(c) :] for x, c in marked}.difference(known)
-        if marks or rest:
-            self._encode(self.tk, [*marks, *rest])
-        for x, c in marked:
-            known[x] = known[c] + known[BARE + x[len(c) :]]
+                other.append(i)
+        ids, sizes = self._encode(self.letters or self.tk, [new[i] for i in simple] + cores)
+        kinds = sorted(set(marks))
+        more, more_sizes = self._encode(self.tk, kinds + [new[i] for i in other])
+        k, c = len(simple), len(kinds)
+        self.known.add(a[simple], b[simple], sizes[:k], ids[: sizes[:k].sum()])
+        if marked:
+            tail_at = np.cumsum(more_sizes[:c]) - more_sizes[:c]
+            which = np.array([kinds.index(m) for m in marks]) if c < 50 else np.searchsorted(np.array(kinds), np.array(marks))
+            both = np.stack([sizes[k:], more_sizes[which]], axis=1)
+            flat = np.concatenate([ids[sizes[:k].sum() :], more[: more_sizes[:c].sum()]])
+            core_ids = sizes[k:].sum()
+            begin = np.stack([np.cumsum(sizes[k:]) - sizes[k:], core_ids + tail_at[which]], axis=1).ravel()
+            lengths = both.ravel()
+            place = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            self.known.add(a[marked], b[marked], both.sum(axis=1), flat[place])
+        if other:
+            self.known.add(a[other], b[other], more_sizes[c:], more[more_sizes[:c].sum() :])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -111,21 +213,34 @@ class ByteLevelEncoder:
             if not self.plain or any(x in t for x in self.odd):
                 out[i] = self._whole(t)
             elif len(t) > LONG:
-                out[i] = b"".join([self._joined([(0, x)])[0] for x in blocks(t)])
+                out[i] = b"".join([self._joined([x])[0] for x in blocks(t)])
             else:
                 cut.append((i, t))
-        for (i, _), ids in zip(cut, self._joined(cut), strict=True):
+        for (i, _), ids in zip(cut, self._joined([t for _, t in cut]), strict=True):
             out[i] = ids
         return out
 
-    def _joined(self, texts: list[tuple[int, str]]) -> list[bytes]:
-        cut = [f"{BARE}{t}".replace("\n", f" \n {BARE}").split(" ") for _, t in texts]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        if met := set().union(*cut).difference(self.known):
-            self._learn(list(met))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in cut]
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        if self.known.words > REMEMBERED:
+            self.known = self._fresh()
+        cut = [f"{BARE}{t}".replace("\n", f" \n {BARE}").encode() for t in texts]
+        raw = b" ".join(cut)
+        a, b, starts, ends = self._hashed(raw)
+        slots = self.known.find(a, b)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            _, first = np.unique(np.stack([a[new], b[new]], axis=1).view("V16").ravel(), return_index=True)
+            first = np.sort(new[first])
+            words = [raw[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            self._learn(words, a[first], b[first])
+            slots[new] = self.known.find(a[new], b[new])
+        ids, n = self.known.ids(slots)
+        text_ends = np.cumsum([len(x) + 1 for x in cut]) - 1
+        last = np.searchsorted(starts, text_ends, side="right")  # words up to each text's end
+        edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], last])].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
 
 
 def blocks(text: str) -> list[str]:
@@ -138,16 +253,12 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-_ENCODERS: dict[str, ByteLevelEncoder] = {}
-
-
 def encoder(path: str) -> ByteLevelEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteLevelEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder."""
+    return held("encoder", path, lambda: ByteLevelEncoder(path))
 
 
-def in_groups(texts, chars: int = 2_000_000, rows: int = 2000):
+def in_groups(texts, chars: int = 1_000_000, rows: int = 2000):
     """Lists of consecutive texts that are bounded by characters and by number."""
     group, size = [], 0
     for t in texts:

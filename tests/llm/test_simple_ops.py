@@ -4,6 +4,7 @@ import hashlib
 import io
 import wave
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -136,19 +137,28 @@ def test_encoder_is_the_library(monkeypatch):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab.,' \n\té½²\x01\x1c ́X")), max_size=30), max_size=5))
 def test_encoders_by_property(many):
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(BYTE)(many)] == [_bytes().encode(t, add_special_tokens=False).ids for t in many]
-    assert _cache.setdefault("c", token_counts.Counts(WORD, [], b""))(many) == [len(_words().encode(t, add_special_tokens=False)) for t in many] if many else True
-
-
-_cache = {}
+    assert [np.frombuffer(x, "<u4").tolist() for x in _encoder()(many)] == [_bytes().encode(t, add_special_tokens=False).ids for t in many]
+    assert _counter()(many) == [len(_words().encode(t, add_special_tokens=False)) for t in many] if many else True
 
 
+@cache
 def _bytes():
-    return _cache.setdefault("b", Tokenizer.from_file(BYTE))
+    return Tokenizer.from_file(BYTE)
 
 
+@cache
 def _words():
-    return _cache.setdefault("w", Tokenizer.from_file(WORD))
+    return Tokenizer.from_file(WORD)
+
+
+@cache
+def _encoder():
+    return tokens.ByteLevelEncoder(BYTE)
+
+
+@cache
+def _counter():
+    return token_counts.Counts(WORD, [], b"")
 
 
 def test_token_counts(spark):

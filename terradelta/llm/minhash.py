@@ -7,10 +7,13 @@ key for each place where the one allowed error may be, made of the other three s
 pairs under that distance; the number of chunks is chosen such that a pair of the linking similarity is above it with
 a probability of at most one in a million. Links are confirmed on the full sets.
 
-Equal sets are one node. Links are found in two steps: in each key's group, first every node against the one node of
-the group that shares most keys with others; then all pairs that share a key and are not in one component yet, with
-the distance tested inside the join, so that only pairs to confirm leave it. No pair that could join two components is
-left out, and groups of any size are split by Spark's adaptive join.
+Equal sets are one node. In each key's group every node is tested against the group's centre, the node that shares most
+keys with others; components of these links are found. What is left are pairs of other nodes of a centre's star that
+lie in different components. A star's nodes are described by their differences from the centre, which are small among
+near copies; nodes outside the centre's component are dealt to blocks of bounded size, each of which meets all blocks of
+the star in a task of its own, where a product of sparse 0/1 matrices gives all exact intersections and only links that
+unite components leave. So no pair that could join two components is left out, no pairs are written out, and neither a
+star nor a key's group is ever gathered in one task.
 
 Defined results: null and empty texts and texts without words have an empty set and no links; a text of fewer words
 than a shingle is one shingle; rows with null ids are not linked, stay, and have a null component; rows of equal ids
@@ -23,12 +26,13 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, utf8
+from .common import held, saved, small, utf8
 from .components import components
 
 CHUNK, BITS = 4, 16
@@ -47,17 +51,15 @@ class _Words(dict):
         return out
 
 
-_words = _Words()
-
-
 def shingles(raw: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; words are runs of bytes other than ASCII white space."""
     split = raw.translate(LOWER).split()
     if not split:
         return np.zeros(0, np.uint64)
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, split), np.uint64, len(split))
+    words = held("shingle words", None, _Words)
+    if len(words) > REMEMBERED:
+        words.clear()
+    h = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -163,6 +165,71 @@ def least_distance(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
+#: A block of a star's nodes has about so many differing shingles and nodes at most; shingles are multiplied so many at once.
+BLOCK_SHINGLES, BLOCK_NODES, AT_ONCE = 300_000, 1000, 2048
+
+
+def links_in_stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between nodes of one star that are in different components, enough to unite these.
+
+    ``members``: star (its centre) ``b``, node ``a``, the node's component ``part``, the centre's component ``home``.
+    """
+    both = members.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    delta = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    rows = saved(both.select("b", "a", "part", (F.col("part") != F.col("home")).alias("out"), F.size("sa").alias("n"), delta.alias("delta")), "deltas")
+    size = lambda kind: F.greatest(F.ceil(F.sum(F.when(kind, F.size("delta") + 1)) / BLOCK_SHINGLES), F.ceil(F.count(F.when(kind, 1)) / BLOCK_NODES))
+    blocks = rows.groupBy("b").agg(F.coalesce(size(F.col("out")), F.lit(0)).cast("int").alias("outs"), F.coalesce(size(~F.col("out")), F.lit(0)).cast("int").alias("homes"))
+    dealt = rows.join(blocks.filter("outs > 0"), "b").withColumn("k", F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("homes"))).cast("int"))
+    # tasks: an out block i beside an out block j >= i, or beside a home block j (numbered from -1 down)
+    outs, homes = F.sequence(F.lit(0), F.col("outs") - 1), F.when(F.col("homes") > 0, F.sequence(F.lit(-1), -F.col("homes"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    task = lambda i, j, left: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"))
+    of_out = F.concat(
+        F.transform(F.filter(outs, lambda j: j >= F.col("k")), lambda j: task(F.col("k"), j, F.lit(True))),
+        F.transform(F.filter(outs, lambda i: i <= F.col("k")), lambda i: task(i, F.col("k"), F.lit(False))),
+        F.transform(homes, lambda j: task(F.col("k"), j, F.lit(True))),
+    )
+    of_home = F.transform(outs, lambda i: task(i, -F.col("k") - 1, F.lit(False)))
+    tasks = dealt.withColumn("t", F.explode(F.when(F.col("out"), of_out).otherwise(of_home))).select("b", "t.i", "t.j", "t.left", "a", "part", "n", "delta")
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(t[t["left"]], t[~t["left"]], percent), columns=["a", "b"], dtype=np.int64)
+
+    return tasks.groupBy("b", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def block_links(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """One link from each node of ``x`` to each other component of ``y`` that it is linked with."""
+    if x.empty or y.empty:
+        return []
+    sizes = [np.array([len(d) for d in t["delta"]], np.int64) for t in (x, y)]
+    flat = [np.concatenate([np.asarray(d, np.int64) for d in t["delta"]]) if s.sum() else np.zeros(0, np.int64) for t, s in zip((x, y), sizes, strict=True)]
+    shared, at = np.intersect1d(flat[0], flat[1]), []
+    for f, s in zip(flat, sizes, strict=True):
+        row = np.repeat(np.arange(len(s)), s)
+        column = np.searchsorted(shared, f)
+        hit = column < len(shared)
+        hit[hit] = shared[column[hit]] == f[hit]
+        at.append((row[hit], column[hit]))
+    common = np.zeros((len(x), len(y)), np.float32)
+    for begin in range(0, len(shared), AT_ONCE):
+        a, b = (np.zeros((len(s), min(AT_ONCE, len(shared) - begin)), np.float32) for s in sizes)
+        for m, (row, column) in zip((a, b), at, strict=True):
+            here = (column >= begin) & (column < begin + AT_ONCE)
+            m[row[here], column[here] - begin] = 1
+        common += a @ b.T
+    n, m = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+    # |x ^ y| = |dx| + |dy| - 2 |dx & dy|, from which the intersection of the full sets
+    meet = (n + m - (sizes[0][:, None] + sizes[1][None, :] - 2 * common.astype(np.int64))) // 2
+    linked = (100 * meet >= percent * (n + m - meet)) & (x["part"].to_numpy()[:, None] != y["part"].to_numpy()[None, :])
+    out = []
+    ids, others, parts = x["a"].to_numpy(), y["a"].to_numpy(), y["part"].to_numpy()
+    for i in np.flatnonzero(linked.any(axis=1)):
+        js = np.flatnonzero(linked[i])
+        _, first = np.unique(parts[js], return_index=True)
+        out += [(int(ids[i]), int(others[j])) for j in js[first]]
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
 
@@ -182,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
     standing = keys.groupBy("node").agg(F.sum("members").alias("standing"))
     placed = keys.join(standing, "node")
     centres = placed.groupBy("key").agg(F.max(F.struct("standing", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
-    stars = keys.join(centres, "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct()
+    stars = saved(keys.join(centres, "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct(), "stars")
 
     involved = keys.select("node").distinct()
     sets = saved(full_sets(docs, involved, involved.count(), width, id_col, text), "sets")
@@ -201,17 +268,15 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
         both = both.select("a", "b", F.size("a_set").alias("x"), F.size("b_set").alias("y"), F.size(F.array_intersect("a_set", "b_set")).alias("both"))
         return both.filter(100 * F.col("both") >= percent * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
 
-    first = saved(confirmed(stars.join(side(facts, "a"), "a").join(side(facts, "b"), "b").filter(close("a", "b")).select("a", "b")), "stars")
+    first = saved(confirmed(stars.join(side(facts, "a"), "a").join(side(facts, "b"), "b").filter(close("a", "b")).select("a", "b")), "confirmed")
     found = components(first)
 
-    # keys whose nodes are in several components still
-    part = keys.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    torn = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("key")
-    left = saved(part.join(torn, "key").join(facts, "node"), "torn")
-    a, b = (left.select("key", *(F.col(c).alias(n if c == "node" else f"{n}_{c}") for c in left.columns if c != "key")) for n in "ab")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & close("a", "b")).select("a", "b").distinct()
-    every = first.unionByName(confirmed(rest))
-    final = components(every)
+    part = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    members = stars.unionByName(stars.select(F.col("b").alias("a"), "b").distinct())
+    members = members.join(part("a", "_p"), "a", "left").select("a", "b", F.coalesce("_p", "a").alias("part"))
+    torn = members.groupBy("b").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("n > 2 AND x <> y").select("b")
+    torn = torn.join(part("b", "_p"), "b", "left").select("b", F.coalesce("_p", "b").alias("home"))
+    final = components(first.unionByName(saved(links_in_stars(members.join(torn, "b"), sets, percent), "star-links")))
 
     classes = nodes.select("d1", "d2", "node").join(final, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")

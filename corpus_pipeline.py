@@ -19,14 +19,18 @@ LEAST_SCORE = 0.5
 
 
 def rows_and_text(docs: DataFrame) -> DataFrame:
-    """Each row as one value beside its text: an operator that takes it for the id hands the row through."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """A row's other columns as one value beside its text: an operator that takes it for the id hands the row through."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def whole_rows(judged: DataFrame, columns: list[str]) -> DataFrame:
+    return judged.select(*(F.col("text") if c == "text" else F.col("doc_id")[c].alias(c) for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones have; texts without letters or of no clear language go."""
-    judged = langid.predict(rows_and_text(docs), langid.train(docs), id_col="row")
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id.*")
+    judged = langid.predict(rows_and_text(docs), langid.train(docs), id_col="row", with_text=True)
+    return whole_rows(judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +46,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten words in a row with a benchmark item."""
-    hits = decontaminate.find_hits(rows_and_text(docs), table(spark, sf_dir, "benchmark"), id_col="row")
-    return hits.filter("n_hit = 0").select("doc_id.*")
+    hits = decontaminate.find_hits(rows_and_text(docs), table(spark, sf_dir, "benchmark"), id_col="row", with_text=True)
+    return whole_rows(hits.filter("n_hit = 0"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

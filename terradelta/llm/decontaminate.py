@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import held, parts, utf8
 
 #: Word bytes: digits, letters, and all bytes of other characters; A-Z become a-z, the rest a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -91,15 +91,6 @@ def spans(raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_MACHINES: dict[str, ahocorasick.Automaton] = {}
-
-
-def _machine(name: str, items: list[tuple[str, str]], width: int) -> ahocorasick.Automaton:
-    """Built once in a worker."""
-    if name not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[name] = automaton(items, width)
-    return _MACHINES[name]
 
 
 def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[list[tuple[str, str]]]:
@@ -111,27 +102,30 @@ def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Itera
         yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """Per document row: ``doc_id``, its words, words hit, items found and the spans (character offsets) of the hits."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, with_text: bool = False) -> DataFrame:
+    """Per document row: ``doc_id``, its words, words hit, items found and the spans (character offsets) of the hits, and
+    ``text`` if wanted."""
     machines = [(hashlib.sha256(repr((part, width)).encode()).hexdigest(), part) for part in benchmark_parts(benchmark, part_bytes)]
     shared = docs.sparkSession.sparkContext.broadcast(machines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        machines = held("benchmark", tuple(name for name, _ in shared.value), lambda: [automaton(part, width) for _, part in shared.value])
+        for batch in parts(batches):
             out: list[tuple] = []
             for raw in utf8(batch, "text"):
                 hit, found, n = np.zeros(0, bool), set(), 0
-                for name, part in shared.value:
-                    n, h, items = scan(_machine(name, part, width), raw)
+                for machine in machines:
+                    n, h, items = scan(machine, raw)
                     hit = h if not len(hit) else hit | h if len(h) else hit
                     found |= items
                 out.append((n, int(hit.sum()), sorted(found), [{"start": a, "end": b} for a, b in (spans(raw, hit) if len(hit) else [])]))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[1:][:with_text]], ["doc_id", "n_words", "n_hit", "items", "spans", *["text"][:with_text]])
 
     one = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    return one.mapInArrow(run, f"doc_id {one.schema[0].dataType.simpleString()}, {HITS}")
+    return one.mapInArrow(run, f"doc_id {one.schema[0].dataType.simpleString()}, {HITS}{', text string' * with_text}")
 
 
 def op3_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

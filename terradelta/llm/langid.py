@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, utf8
+from .common import held, parts, texts, utf8
 
 ORDER = 4
 #: Training text for a language, in bytes (expected; rows are drawn by a hash), and the longest text that is drawn.
@@ -179,20 +179,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     return Model.load(bytes(got[0][0])) if got else Model([], [])
 
 
-_MODELS: dict[int, Model] = {}
-
-
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``lang_pred``, ``score`` (0 to 1) and ``bits_per_byte`` in that language (null for ``und``)."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """Per row: ``doc_id``, ``lang_pred``, ``score`` (0 to 1) and ``bits_per_byte`` in that language (null for ``und``),
+    and ``text`` if wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model.load(shared.value)
-        m = _MODELS[key]
-        for batch in batches:
+        m = held("languages", hash(shared.value), lambda: Model.load(shared.value))
+        for batch in parts(batches):
             letters = [t is not None and LETTER.search(t) is not None for t in texts(batch, "text")]
             sizes: list[int] = []
 
@@ -212,10 +206,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
                 pa.array([float(share[i]) if x else 0.0 for i, x in enumerate(ok)], pa.float64()),
                 pa.array([float(low[i]) / sizes[i] if x else None for i, x in enumerate(ok)], pa.float64()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[1:][:with_text]], ["doc_id", "lang_pred", "score", "bits_per_byte", *["text"][:with_text]])
 
     one = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    return one.mapInArrow(run, f"doc_id {one.schema[0].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    return one.mapInArrow(run, f"doc_id {one.schema[0].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double{', text string' * with_text}")
 
 
 def op9_language(docs: DataFrame) -> DataFrame:

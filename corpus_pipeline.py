@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.llm import decontaminate, langid, line_dedup, minhash, packing
-from terradelta.llm.common import saved, table
+from terradelta.llm.common import long_rows, saved, table
 from terradelta.llm.tokens import tokenizer_path
 
 #: A document whose best language has less of the codes' probability goes.
@@ -29,17 +29,20 @@ def whole_rows(judged: DataFrame, columns: list[str]) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones have; texts without letters or of no clear language go."""
+    long_rows(spark)
     judged = langid.predict(rows_and_text(docs), langid.train(docs), id_col="row", with_text=True)
     return whole_rows(judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that nearly equal an earlier line."""
+    long_rows(spark)
     return line_dedup.without_lines(docs, line_dedup.near_lines(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more. Rows without id stay."""
+    long_rows(spark)
     gone = minhash.near_duplicates(docs, 5, 80).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
@@ -52,6 +55,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences of 2048 tokens."""
+    long_rows(spark)
     return packing.op7_packing(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

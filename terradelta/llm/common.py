@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,14 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import new_path, saved, small
 
-__all__ = ["held", "new_path", "parts", "saved", "small", "table", "texts", "utf8"]
+__all__ = ["held", "lone", "long_rows", "new_path", "parts", "saved", "small", "table", "texts", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark (the path may be in any store)."""
+    long_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_rows(spark: SparkSession) -> None:
+    """Arrow batches for rows with whole texts: a few megabytes each, in the JVM and in its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 _held: dict = {}
 
 
@@ -24,6 +34,10 @@ def held(owner: str, key: object, make: Callable[[], object]) -> object:
     """What a worker keeps between batches and tasks: one operator's memory at a time, as workers serve many in turn."""
     if _held.get("for") != (owner, key):
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # only some C libraries have it
         _held.update({"for": (owner, key), "it": make()})
     return _held["it"]
 
@@ -47,3 +61,9 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def lone(batches: Iterator[pa.RecordBatch], owner: str, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """``parts`` for an operator that holds nothing between batches: what another has left in the worker is let go."""
+    held(owner, None, lambda: None)
+    return parts(batches, rows)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, texts
+from .common import lone, saved, small, texts
 from .components import components
 
 EDITS, LEAST = 2, 32
@@ -144,7 +144,7 @@ def occurrences(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", tex
     """``doc_id``, ``version``, ``line_no``, ``line`` (its hash) for every line that is classed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lone(batches, "lines"):
             whose, number, ids = [], [], []
             for at, t in enumerate(texts(batch, "text")):
                 for i, s in eligible(t, least):
@@ -162,7 +162,7 @@ def distinct_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in lone(batches, "lines"):
             ids, lines = [], []
             for t in texts(batch, "text"):
                 for _, s in eligible(t, least):
@@ -178,7 +178,7 @@ def distinct_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
 
 
 #: Hashes that a task remembers to leave out repeated lines early.
-SEEN = 1_000_000
+SEEN = 200_000
 
 
 def _entries(lines: DataFrame, plan, edits: int) -> DataFrame:
@@ -187,26 +187,22 @@ def _entries(lines: DataFrame, plan, edits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 4000):
-                part = batch.slice(begin, 4000)
-                kept, ids = [], []
-                for k, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if k not in seen:
-                        seen.add(k)
-                        kept.append(s)
-                        ids.append(k)
-                if not kept:
-                    continue
-                keys, sizes = [], []
-                for s in kept:
-                    places = plan(len(s), edits)
-                    sizes.append(len(places))
-                    keys += [digest(s[a:b], seed) for seed, a, b in places]
-                repeat = np.repeat(np.arange(len(kept)), sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(keys), pa.array(np.array(ids, np.int64)[repeat]), pa.array(sketches(kept).view(np.int64)[repeat])], ["key", "line", "sketch"]
-                )
+        for part in lone(batches, "lines", 2000):
+            kept, ids = [], []
+            for k, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if k not in seen:
+                    seen.add(k)
+                    kept.append(s)
+                    ids.append(k)
+            if not kept:
+                continue
+            keys, sizes = [], []
+            for s in kept:
+                places = plan(len(s), edits)
+                sizes.append(len(places))
+                keys += [digest(s[a:b], seed) for seed, a, b in places]
+            repeat = np.repeat(np.arange(len(kept)), sizes)
+            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(np.array(ids, np.int64)[repeat]), pa.array(sketches(kept).view(np.int64)[repeat])], ["key", "line", "sketch"])
 
     return lines.mapInArrow(run, "key long, line long, sketch long")
 
@@ -229,7 +225,7 @@ def linked_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col
     words = saved(words, "line-words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lone(batches, "lines"):
             fits = [within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
@@ -248,7 +244,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
     lines = lines.select("doc_id", "version", "line_no", F.coalesce("class_id", "line").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     place = F.struct("doc_id", "version", "line_no")
     first = lines.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("members")).filter("members > 1").select("class_id", "first")
-    return lines.join(first, "class_id", "left").select("doc_id", "version", "line_no", "class_id", "n_links", F.when(F.col("first").isNull(), True).otherwise(place.eqNullSafe(F.col("first"))).alias("kept"))
+    # written, so that the join may split a class with many lines
+    return lines.join(saved(first, "first-lines"), "class_id", "left").select("doc_id", "version", "line_no", "class_id", "n_links", F.when(F.col("first").isNull(), True).otherwise(place.eqNullSafe(F.col("first"))).alias("kept"))
 
 
 def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -259,7 +256,7 @@ def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     kind, schema = docs.select("text").schema[0].dataType, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lone(batches, "lines"):
             out, keep = [], []
             for t, numbers in zip(texts(batch, "text"), batch.column(batch.schema.get_field_index("_gone")), strict=True):
                 numbers = set(numbers.as_py() or ())

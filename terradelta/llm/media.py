@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import lone, utf8
 
 UNIT = 192
 RATE = 8000
@@ -112,12 +112,10 @@ def _with(df: DataFrame, columns: str, step) -> DataFrame:
         raise ValueError(f"these columns exist already: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # a few rows at a time, as the files of long texts are long
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = step(part)
-                yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*part.schema.names, *made])
+        # a few rows at a time, as the files of long texts are long
+        for part in lone(batches, "media", 256):
+            made = step(part)
+            yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*part.schema.names, *made])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *more.fields]))
 

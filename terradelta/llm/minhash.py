@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, saved, small, utf8
+from .common import held, parts, saved, small, utf8
 from .components import components
 
 CHUNK, BITS = 4, 16
@@ -40,7 +40,7 @@ CHUNK, BITS = 4, 16
 MISSED = 1e-6
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words remembered in a worker before its memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Shingles whose minima are taken at once.
 BLOCK = 1 << 17
 
@@ -102,18 +102,16 @@ def sketch(docs: DataFrame, width: int, symbols: int, id_col: str = "doc_id", te
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingles(raw, width) for raw in utf8(part, "text")]
-                full = [s for s in sets if len(s)]
-                signed = iter(signatures(full, symbols).view(np.int16))
-                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                halves = [tuple(np.frombuffer(d, np.int64).tolist()) if d else (None, None) for d in digests]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array([next(signed) if len(s) else None for s in sets], pa.list_(pa.int16()))],
-                    ["doc_id", "n_shingles", "d1", "d2", "signature"],
-                )
+        for part in parts(batches, 500):
+            sets = [shingles(raw, width) for raw in utf8(part, "text")]
+            full = [s for s in sets if len(s)]
+            signed = iter(signatures(full, symbols).view(np.int16))
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            halves = [tuple(np.frombuffer(d, np.int64).tolist()) if d else (None, None) for d in digests]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array([next(signed) if len(s) else None for s in sets], pa.list_(pa.int16()))],
+                ["doc_id", "n_shingles", "d1", "d2", "signature"],
+            )
 
     return one.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, signature array<short>")
 
@@ -123,11 +121,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame, rows: int, width: int, id_col:
     one = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(small(nodes, rows), "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingles(raw, width).view(np.int64) for raw in utf8(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+        for part in parts(batches, 500):
+            sets = [shingles(raw, width).view(np.int64) for raw in utf8(part, "text")]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
     return one.mapInArrow(run, "node long, set array<long>")
 
@@ -192,6 +188,7 @@ def links_in_stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     tasks = dealt.withColumn("t", F.explode(F.when(F.col("out"), of_out).otherwise(of_home))).select("b", "t.i", "t.j", "t.left", "a", "part", "n", "delta")
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
+        held("stars", None, lambda: None)
         return pd.DataFrame(block_links(t[t["left"]], t[~t["left"]], percent), columns=["a", "b"], dtype=np.int64)
 
     return tasks.groupBy("b", "i", "j").applyInPandas(run, "a long, b long")

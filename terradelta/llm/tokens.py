@@ -20,7 +20,7 @@ from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split  # noqa: E402
 from .common import held  # noqa: E402
 
 #: Words remembered in a worker (half of its table's slots); beyond it, the memory starts anew.
-SLOT_BITS = 22
+SLOT_BITS = 21
 REMEMBERED = 1 << (SLOT_BITS - 1)
 #: Texts longer than this many characters are worked on in blocks that end before a space.
 LONG = 1 << 19

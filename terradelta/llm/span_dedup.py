@@ -1,18 +1,21 @@
 """Operator 4: repeated passages by sliding spans of sentences.
 
-A text is cut into sentences (behind ``.``, ``!`` or ``?`` before white space, and at newlines). Every run of RUN
-consecutive sentences with at least LEAST_WORDS words is hashed to 128 bits; the runs of all documents are joined, and a
-run that stands in several places is kept in the first (by id, then place). Sentences that any other occurrence covers
-are removed; all else, white space included, stays as it is.
-
-Defined results: case and white space do not tell sentences apart; null texts stay null and empty texts empty; a text of
-fewer sentences than RUN has no runs; null ids come first; rows that agree in id and text are one document (the first
+A text is cut into sentences (behind ``.``, ``!`` or ``?`` before white space, and at newlines). Sentences of more than
+LONG words are cut further, behind words that a hash picks, so that a passage is found whose ends run into other
+sentences: where it is cut depends on its own words alone. From each sentence on, the run of at least RUN consecutive
+sentences that has LEAST_WORDS words is hashed to 128 bits; the runs of all documents are joined, and a run that stands
+in several places is kept in the first (by id, then place). Sentences that any other occurrence covers are removed; all
+else, white space included, stays as it is.
+
+Defined results: case and white space do not tell sentences apart; null texts stay null and empty texts empty; a text
+that is shorter than a run has none; null ids come first; rows that agree in id and text are one document (the first
 place is in each of them); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,30 +24,60 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import lone, saved, texts
 
-RUN, LEAST_WORDS = 2, 10
+RUN, LEAST_WORDS = 2, 20
+#: Longer sentences are cut behind about one word in ONE_IN.
+LONG, ONE_IN = 12, 6
 BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
-
-
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, end with the white space behind it) of a text's sentences that have words."""
-    out, at = [], 0
+WORD = re.compile(r"\S+")
+
+
+def sentences(text: str) -> list[tuple[int, int, int, list[str]]]:
+    """(start, end, end with the white space behind it, lower-case words) of a text's sentences that have words."""
+    out: list[tuple[int, int, int, list[str]]] = []
+
+    def add(start: int, end: int, after: int) -> None:
+        words = text[start:end].lower().split()
+        if len(words) <= LONG:
+            if words:
+                out.append((start, end, after, words))
+            return
+        begin, first, places = start, 0, [m.span() for m in WORD.finditer(text, start, end)]
+        words = [text[x:y].lower() for x, y in places]
+        for i, w in enumerate(words[:-1]):
+            if zlib.crc32(w.encode("utf-8", "surrogatepass")) % ONE_IN == 0:
+                out.append((begin, places[i][1], places[i + 1][0], words[first : i + 1]))
+                begin, first = places[i + 1][0], i + 1
+        out.append((begin, end, after, words[first:]))
+
+    at = 0
     for m in BREAK.finditer(text):
-        if text[at : m.start()].strip():
-            out.append((at, m.start(), m.end()))
+        add(at, m.start(), m.end())
         at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text), len(text)))
+    add(at, len(text), len(text))
+    return out
+
+
+def run_ends(units: list[tuple[int, int, int, list[str]]], run: int, least_words: int) -> list[int]:
+    """For each sentence that begins a run, the end of the run (number of the sentence behind it)."""
+    out, end, words = [], 0, 0
+    for i, u in enumerate(units):
+        while end < len(units) and (words < least_words or end - i < run):
+            words += len(units[end][3])
+            end += 1
+        if words < least_words or end - i < run:
+            break
+        out.append(end)
+        words -= len(u[3])
     return out
 
 
 def runs(text: str, run: int, least_words: int) -> list[tuple[int, bytes]]:
     """(number of the first sentence, digest) of a text's runs."""
-    split = [text[a:b].lower().split() for a, b, _ in sentences(text)]
-    joined = [" ".join(w) for w in split]
-    sizes = [len(w) for w in split]
-    return [(i, xxhash.xxh3_128_digest("\n".join(joined[i : i + run]))) for i in range(len(joined) - run + 1) if sum(sizes[i : i + run]) >= least_words]
+    units = sentences(text)
+    joined = [" ".join(u[3]) for u in units]
+    return [(i, xxhash.xxh3_128_digest("\n".join(joined[i:end]).encode("utf-8", "surrogatepass"))) for i, end in enumerate(run_ends(units, run, least_words))]
 
 
 def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -55,21 +88,17 @@ def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS,
     """``doc_id``, ``version``, ``at`` (number of the first sentence), ``h1``, ``h2`` for every run of every text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                whose, at, digests = [], [], []
-                for k, t in enumerate(texts(part, "text")):
-                    for i, d in runs(t or "", run, least_words):
-                        whose.append(k)
-                        at.append(i)
-                        digests.append(d)
-                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                take = pa.array(whose, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-                    ["doc_id", "version", "at", "h1", "h2"],
-                )
+        for part in lone(batches, "spans"):
+            whose, at, digests = [], [], []
+            for k, t in enumerate(texts(part, "text")):
+                for i, d in runs(t or "", run, least_words):
+                    whose.append(k)
+                    at.append(i)
+                    digests.append(d)
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            take = pa.array(whose, pa.int64())
+            columns = [part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "at", "h1", "h2"])
 
     return _source(docs, id_col, text).mapInArrow(make, "doc_id long, version long, at int, h1 long, h2 long")
 
@@ -79,7 +108,8 @@ def repeated(spans: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "version", "at")
     # counted before the shuffle; only hashes that occur twice are joined back
     first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    later = spans.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    # written, so that the join may split a hash with many places
+    later = spans.join(saved(first, "repeated-spans"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("runs"))
 
 
@@ -93,17 +123,18 @@ def remove_repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WO
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lone(batches, "spans"):
             counts, removed, out = [], [], []
             for t, first in zip(texts(batch, "text"), batch.column(2), strict=True):
                 first = first.as_py() or ()
                 where = sentences(t or "")
-                covered = sorted({i for f in first for i in range(f, f + run)})
+                ends = run_ends(where, run, least_words) if first else []
+                covered = sorted({i for f in first for i in range(f, ends[f])})
                 counts.append(len(where))
                 removed.append([{"start": where[i][0], "end": where[i][1]} for i in covered])
                 at, parts = 0, []
                 for i in covered:
-                    a, _, end = where[i]
+                    a, _, end, _ = where[i]
                     parts.append(t[at:a])
                     at = end
                 out.append(t if not covered else "".join([*parts, t[at:]]))

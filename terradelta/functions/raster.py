@@ -134,11 +134,3 @@ def overlap_area(a: Iterable[Column], b: Iterable[Column]) -> Column:
     """The common area of two boxes (west, south, east, north); 0 if they are apart."""
     (aw, as_, ae, an), (bw, bs, be, bn) = a, b
     return F.greatest(F.least(ae, be) - F.greatest(aw, bw), F.lit(0.0)) * F.greatest(F.least(an, bn) - F.greatest(as_, bs), F.lit(0.0))
-
-
-def reflect(i: Column, n: int) -> Column:
-    """The source index of a padded index, reflected at the far edge without repeating it."""
-    if n == 1:
-        return F.lit(0)
-    m = F.pmod(i, F.lit(2 * (n - 1)))
-    return F.when(m < n, m).otherwise(F.lit(2 * (n - 1)) - m).cast("int")

@@ -66,12 +66,15 @@ def consecutive_months(months: DataFrame, keys: list[str] | None = None, separat
 
 def cross_epoch_pairs(months: DataFrame, before: str, after: str, separator: str = "_to_") -> DataFrame:
     """One pair of months of two years: the first calendar month that both have, else the first of each."""
-    year = lambda y, name: months.filter(F.col("year_month").startswith(f"{y}-")).select(F.col("year_month").alias(name)).distinct()
-    a, b = year(before, "t1"), year(after, "t2")
-    # at most 12 months on either side
-    pairs = a.crossJoin(F.broadcast(b)).withColumn("same", (F.substring("t1", 6, 2) == F.substring("t2", 6, 2)).cast("int"))
-    best = pairs.orderBy(F.desc("same"), "t1", "t2").limit(1)
-    return best.select("t1", "t2", period(F.col("t1"), F.col("t2"), separator).alias("detection_period"))
+    # one row: at most 12 months on either side
+    of = lambda y: F.array_sort(F.collect_set(F.when(F.col("year_month").startswith(f"{y}-"), F.col("year_month"))))
+    row = months.agg(of(before).alias("a"), of(after).alias("b")).filter("size(a) > 0 AND size(b) > 0")
+    same = lambda x, y: F.substring(x, 6, 2) == F.substring(y, 6, 2)
+    both = F.filter("a", lambda x: F.exists("b", lambda y: same(x, y)))
+    t1 = F.coalesce(F.get(both, F.lit(0)), F.get("a", F.lit(0)))
+    row = row.withColumn("t1", t1)
+    t2 = F.coalesce(F.get(F.filter("b", lambda y: same(F.col("t1"), y)), F.lit(0)), F.get("b", F.lit(0)))
+    return row.select("t1", t2.alias("t2")).select("t1", "t2", period(F.col("t1"), F.col("t2"), separator).alias("detection_period"))
 
 
 def wanted_assets(scenes: DataFrame, bands: list[str]) -> DataFrame:

@@ -145,10 +145,16 @@ def connected_components(pixels: DataFrame, keys: list[str], width: int, value:
 def nearest_axis(target: DataFrame, source: DataFrame) -> DataFrame:
     """For each target coordinate (``t``) the nearest source coordinate (``s``), the larger of two that are equally near.
 
-    Both are the coordinates of one axis, thousands at most, so their pairing is small whatever the rasters' size.
+    One sorted pass over both axes' coordinates (thousands at most, whatever the rasters' size): the last source
+    coordinate before a target and the first behind it are all that can be nearest.
     """
-    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.abs(F.col("t") - F.col("s")), F.desc("s")))
-    return target.join(F.broadcast(source), how="cross").withColumn("r", rank).filter("r = 1").drop("r")
+    both = target.distinct().select("t", F.col("t").alias("c"), F.lit(None).cast(source.schema["s"].dataType).alias("s"))
+    both = both.unionByName(source.distinct().select(F.lit(None).cast(target.schema["t"].dataType).alias("t"), F.col("s").alias("c"), "s"))
+    order = Window.orderBy("c")
+    before = F.last("s", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    behind = F.first("s", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("lo", before).withColumn("hi", behind).filter("t IS NOT NULL")
+    return near.select("t", F.when(F.col("hi").isNull(), F.col("lo")).when(F.col("lo").isNull() | (F.col("hi") - F.col("t") <= F.col("t") - F.col("lo")), F.col("hi")).otherwise(F.col("lo")).alias("s"))
 
 
 def upsample_nearest(coarse: DataFrame, factor: int, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.raster import gaussian_weight, reflect, sigmoid
+from ..functions.raster import gaussian_weight, sigmoid
 from ..schema import OVERLAP, TILE
 
 
@@ -34,7 +34,15 @@ def pad_reflect(pixels: DataFrame, keys: list[str], height: int, width: int, til
 
     Each source pixel is exploded to the padded places that show it; no join is needed.
     """
-    places = lambda c, n, pad: F.explode(F.filter(F.sequence(F.lit(0), F.lit(n + pad - 1)), lambda i: reflect(i, n) == F.col(c)))
+    def places(c: str, n: int, pad: int) -> Column:
+        """A coordinate, and where it shows again behind the edge: at multiples of 2 (n - 1), plus or minus it."""
+        turn, every = 2 * (n - 1), n + pad
+        if n == 1:
+            return F.explode(F.sequence(F.lit(0), F.lit(pad)))
+        turns = F.sequence(F.lit(1), F.lit(every // turn + 1))
+        again = F.concat(F.transform(turns, lambda k: k * turn - F.col(c)), F.transform(turns, lambda k: k * turn + F.col(c)))
+        return F.explode(F.concat(F.array(F.col(c)), F.array_distinct(F.filter(again, lambda i: (i >= n) & (i < every)))))
+
     rows = pixels.withColumn("_y", places("y", height, required_pad(height, tile, stride)))
     rows = rows.withColumn("_x", places("x", width, required_pad(width, tile, stride)))
     return rows.drop("y", "x").withColumnsRenamed({"_y": "y", "_x": "x"})

@@ -202,9 +202,8 @@ def grid_align_nearest(spark, sf):
 
 def _src_targets(spark, sf):
     src = V.tiles(spark, sf).select("raster", "y", "x", "v")
-    cells = spark.range(36).select((F.col("id") / 6).cast("int").alias("y"), (F.col("id") % 6).cast("int").alias("x"))
-    rasters = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("raster"))
-    return src, rasters.crossJoin(F.broadcast(cells))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(5)))
+    return src, V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("raster"), cells.alias("y")).withColumn("x", cells)
 
 
 def _kernel_sql(weight: str, reach: int) -> str:

@@ -14,7 +14,9 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from .common import saved, small, texts
 from .tokens import encoder, in_groups
 
 CAPACITY, END = 2048, 0
-#: Fillings looked at for a longest document, and steps of the whole search, at most.
-FILLINGS, STEPS, BRANCHES = 400, 20_000, 3
+#: Fillings looked at for a longest document, and steps of the whole search after its first packing, at most.
+FILLINGS, STEPS, BRANCHES = 150, 1500, 3
+#: Choices that one line of the search leaves open; further ones are settled by least waste.
+OPEN = 150
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -43,10 +47,8 @@ def fillings(left: list[int], count: dict[int, int], room: int, most: int = FILL
     def add(at: int, room: int, chosen: Filling) -> bool:
         steps[0] += 1
         any_fits = False
-        for i in range(at, len(left)):
+        for i in range(max(at, bisect_left(left, -room, key=neg)), len(left)):
             s = left[i]
-            if s > room or not count.get(s):
-                continue
             any_fits = True
             for k in range(min(count[s], room // s), 0, -1):
                 if add(i + 1, room - k * s, (*chosen, (s, k))) or steps[0] > most:
@@ -94,9 +96,9 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
     bins = lambda p: sum(n for _, n in p)
     total = sum(s * n for s, n in counts.items())
     least = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
-    left, done = [steps], []
+    left, done, complete = [steps], [], [0]
 
-    def search(count: dict[int, int], sizes: list[int], used: int, wasted: int) -> bool:
+    def search(count: dict[int, int], sizes: list[int], used: int, wasted: int, level: int) -> bool:
         """True: the bound is met, or no steps are left."""
         nonlocal best
         depth = 0
@@ -104,11 +106,12 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
             while sizes and not count[sizes[0]]:
                 sizes = sizes[1:]
             if not sizes:
+                complete[0] = 1
                 if used < bins(best):
                     best = list(done)
                 found = bins(best) <= least
                 break
-            left[0] -= 1
+            left[0] -= complete[0]
             if left[0] < 0:
                 found = True
                 break
@@ -131,14 +134,14 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
             if not moves:
                 found = False
                 break
-            if len(moves) > 1 and moves[0][0] > 0:
+            if len(moves) > 1 and moves[0][0] > 0 and level < OPEN:
                 # a choice with waste: branch
                 found = False
                 for waste, whole, times in moves:
                     for x, k in whole.items():
                         count[x] -= k * times
                     done.append((tuple(sorted(whole.items(), reverse=True)), times))
-                    found = search(count, sizes, used + times, wasted + waste * times)
+                    found = search(count, sizes, used + times, wasted + waste * times, level + 1)
                     done.pop()
                     for x, k in whole.items():
                         count[x] += k * times
@@ -157,7 +160,7 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
                 count[x] += k * times
         return found
 
-    search(dict(counts), sorted(counts, reverse=True), 0, 0)
+    search(dict(counts), sorted(counts, reverse=True), 0, 0, 0)
     return best
 
 

@@ -175,7 +175,7 @@ def links_in_stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     rows = saved(both.select("b", "a", "part", (F.col("part") != F.col("home")).alias("out"), F.size("sa").alias("n"), delta.alias("delta")), "deltas")
     size = lambda kind: F.greatest(F.ceil(F.sum(F.when(kind, F.size("delta") + 1)) / BLOCK_SHINGLES), F.ceil(F.count(F.when(kind, 1)) / BLOCK_NODES))
     blocks = rows.groupBy("b").agg(F.coalesce(size(F.col("out")), F.lit(0)).cast("int").alias("outs"), F.coalesce(size(~F.col("out")), F.lit(0)).cast("int").alias("homes"))
-    dealt = rows.join(blocks.filter("outs > 0"), "b").withColumn("k", F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("homes"))).cast("int"))
+    dealt = rows.join(saved(blocks.filter("outs > 0"), "blocks"), "b").withColumn("k", F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("homes"))).cast("int"))
     # tasks: an out block i beside an out block j >= i, or beside a home block j (numbered from -1 down)
     outs, homes = F.sequence(F.lit(0), F.col("outs") - 1), F.when(F.col("homes") > 0, F.sequence(F.lit(-1), -F.col("homes"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     task = lambda i, j, left: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"))
@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
     members = stars.unionByName(stars.select(F.col("b").alias("a"), "b").distinct())
     members = members.join(part("a", "_p"), "a", "left").select("a", "b", F.coalesce("_p", "a").alias("part"))
     torn = members.groupBy("b").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("n > 2 AND x <> y").select("b")
-    torn = torn.join(part("b", "_p"), "b", "left").select("b", F.coalesce("_p", "b").alias("home"))
+    # this table and those of blocks are written, so that the joins with them may split a large star's rows
+    torn = saved(torn.join(part("b", "_p"), "b", "left").select("b", F.coalesce("_p", "b").alias("home")), "torn")
     final = components(first.unionByName(saved(links_in_stars(members.join(torn, "b"), sets, percent), "star-links")))
 
     classes = nodes.select("d1", "d2", "node").join(final, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))

@@ -28,7 +28,7 @@ from .common import lone, saved, texts
 
 RUN, LEAST_WORDS = 2, 20
 #: Longer sentences are cut behind about one word in ONE_IN.
-LONG, ONE_IN = 12, 6
+LONG, ONE_IN = 16, 8
 BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 WORD = re.compile(r"\S+")
 
@@ -85,68 +85,71 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``version``, ``at`` (number of the first sentence), ``h1``, ``h2`` for every run of every text."""
+    """``h1``, ``h2`` (digest), ``doc_id``, ``place`` for every run of every text. A place is the number of the first
+    sentence, and above it the upper half of the text's hash."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in lone(batches, "spans"):
-            whose, at, digests = [], [], []
-            for k, t in enumerate(texts(part, "text")):
-                for i, d in runs(t or "", run, least_words):
-                    whose.append(k)
-                    at.append(i)
-                    digests.append(d)
+            sizes, at, digests = [], [], []
+            for t in texts(part, "text"):
+                found = runs(t or "", run, least_words)
+                sizes.append(len(found))
+                at += [i for i, _ in found]
+                digests += [d for _, d in found]
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            take = pa.array(whose, pa.int64())
-            columns = [part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "at", "h1", "h2"])
+            whose = np.repeat(np.arange(part.num_rows), sizes)
+            place = (part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[whose] >> 32 << 32) | np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)), part.column(0).take(pa.array(whose)), pa.array(place)], ["h1", "h2", "doc_id", "place"])
 
-    return _source(docs, id_col, text).mapInArrow(make, "doc_id long, version long, at int, h1 long, h2 long")
+    return _source(docs, id_col, text).mapInArrow(make, "h1 long, h2 long, doc_id long, place long")
 
 
 def repeated(spans: DataFrame) -> DataFrame:
-    """Per document with occurrences that are not the first: ``doc_id``, ``version``, ``runs`` (numbers)."""
-    place = F.struct("doc_id", "version", "at")
-    # counted before the shuffle; only hashes that occur twice are joined back
-    first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    # written, so that the join may split a hash with many places
-    later = spans.join(saved(first, "repeated-spans"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("runs"))
+    """Per document with occurrences that are not the first: ``doc_id``, ``version`` (upper half of the text's hash),
+    ``runs`` (numbers).
+
+    Counting goes by half of the digest alone; only runs whose half occurs again are carried on, whole.
+    """
+    again = saved(spans.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "repeated-halves")
+    spans = saved(spans.join(again, "h1"), "repeated-spans")
+    place = F.struct("doc_id", "place")
+    # written, so that the join may split a run with many places
+    first = saved(spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first"), "first-spans")
+    later = spans.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    at = F.col("place").bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int")
+    return later.groupBy("doc_id", F.shiftright("place", 32).alias("version")).agg(F.collect_set(at).alias("runs"))
 
 
 def remove_repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_sentences``, ``n_removed``, ``removed`` (start and end of each removed sentence) and the
-    ``text`` that stays."""
+    """Per row: ``doc_id``, ``n_removed``, ``removed`` (start and end of each removed sentence) and the ``text`` that
+    stays."""
     spans = saved(span_table(docs, run, least_words, id_col, text), "spans")
     gone = repeated(spans).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "runs")
     rows = _source(docs, id_col, text)
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("doc_id", "text", "runs")
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.shiftright("version", 32) == F.col("_version")), "left").select("doc_id", "text", "runs")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lone(batches, "spans"):
-            counts, removed, out = [], [], []
+            removed, out = [], []
             for t, first in zip(texts(batch, "text"), batch.column(2), strict=True):
-                first = first.as_py() or ()
-                where = sentences(t or "")
-                ends = run_ends(where, run, least_words) if first else []
-                covered = sorted({i for f in first for i in range(f, ends[f])})
-                counts.append(len(where))
+                first = first.as_py()
+                where = sentences(t) if first else []
+                ends = run_ends(where, run, least_words)
+                covered = sorted({i for f in first or () for i in range(f, ends[f])})
                 removed.append([{"start": where[i][0], "end": where[i][1]} for i in covered])
-                at, parts = 0, []
+                at, kept = 0, []
                 for i in covered:
                     a, _, end, _ = where[i]
-                    parts.append(t[at:a])
+                    kept.append(t[at:a])
                     at = end
-                out.append(t if not covered else "".join([*parts, t[at:]]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int32()), pa.array([len(x) for x in removed], pa.int32()), pa.array(removed, kind), pa.array(out, pa.string())],
-                ["doc_id", "n_sentences", "n_removed", "removed", "text"],
-            )
+                out.append("".join([*kept, t[at:]]) if covered else t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in removed], pa.int32()), pa.array(removed, kind), pa.array(out, pa.string())], ["doc_id", "n_removed", "removed", "text"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>, text string")
+    return joined.mapInArrow(cut, "doc_id long, n_removed int, removed array<struct<start:int,end:int>>, text string")
 
 
 def op4_spans(docs: DataFrame) -> DataFrame:
     """Every document, with the sentences of repeated passages removed."""
     out = remove_repeated(docs)
-    return out.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
+    return out.select("doc_id", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")

@@ -239,12 +239,12 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
     links = saved(linked_lines(docs, edits, least, id_col, text), "line-links")
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    facts = found.join(degree, "node").select(F.col("node").alias("line"), F.col("component").alias("class_id"), "n_links")
+    # this table and that of first lines are written, so that the joins with them may split a very common line
+    facts = saved(found.join(degree, "node").select(F.col("node").alias("line"), F.col("component").alias("class_id"), "n_links"), "line-facts")
     lines = saved(occurrences(docs, least, id_col, text), "lines").join(facts, "line", "left")
     lines = lines.select("doc_id", "version", "line_no", F.coalesce("class_id", "line").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     place = F.struct("doc_id", "version", "line_no")
     first = lines.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("members")).filter("members > 1").select("class_id", "first")
-    # written, so that the join may split a class with many lines
     return lines.join(saved(first, "first-lines"), "class_id", "left").select("doc_id", "version", "line_no", "class_id", "n_links", F.when(F.col("first").isNull(), True).otherwise(place.eqNullSafe(F.col("first"))).alias("kept"))
 
 

@@ -38,7 +38,8 @@ def chunks_of(pixels: DataFrame, keys: list[str], value: str, height: int = CHUN
 
 def chunked(pixels: DataFrame, size: int, halo: int) -> DataFrame:
     """Deals pixels to chunks, with copies of those within ``halo`` of a neighbouring chunk (``own`` says which are not)."""
-    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(c) + d) / size).cast("int")))
+    # no chunk lies before the first one, so no copies go there
+    near = lambda c: F.array_distinct(F.filter(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(c) + d) / size).cast("int")), lambda i: i >= 0))
     rows = pixels.withColumn("chunk_row", F.explode(near("y"))).withColumn("chunk_col", F.explode(near("x")))
     return rows.withColumn("own", (F.floor(F.col("y") / size) == F.col("chunk_row")) & (F.floor(F.col("x") / size) == F.col("chunk_col")))
 

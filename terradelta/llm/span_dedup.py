@@ -1,8 +1,9 @@
 """Operator 4: repeated passages by sliding spans of sentences.
 
 A text is cut into sentences (behind ``.``, ``!`` or ``?`` before white space, and at newlines). Sentences of more than
-LONG words are cut further, behind words that a hash picks, so that a passage is found whose ends run into other
-sentences: where it is cut depends on its own words alone. From each sentence on, the run of at least RUN consecutive
+LONG words are cut further, behind the word with the least hash of each LONG words in a row, so that a passage is found
+whose ends run into other sentences: where it is cut depends on its own words alone, and each LONG words in a row of a
+long sentence have a cut. From each sentence on, and up to each sentence, the shortest run of at least RUN consecutive
 sentences that has LEAST_WORDS words is hashed to 128 bits; the runs of all documents are joined, and a run that stands
 in several places is kept in the first (by id, then place). Sentences that any other occurrence covers are removed; all
 else, white space included, stays as it is.
@@ -27,12 +28,30 @@ from pyspark.sql import functions as F
 from .common import lone, saved, texts
 
 RUN, LEAST_WORDS = 2, 20
-#: Longer sentences are cut behind about one word in ONE_IN.
-LONG, ONE_IN = 16, 8
+#: Longer sentences are cut, at least once in so many words.
+LONG = 12
 BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 WORD = re.compile(r"\S+")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Numbers of the words of a long sentence that it is cut behind: the last of the least hashes of each LONG words."""
+    h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    out, at = [], -1
+    for end in range(LONG, len(h) + 1):
+        begin = end - LONG
+        if at < begin:
+            least = min(h[begin:end])
+            at = end - 1
+            while h[at] != least:
+                at -= 1
+            out.append(at)
+        elif h[end - 1] <= h[at]:
+            at = end - 1
+            out.append(at)
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, int, list[str]]]:
     """(start, end, end with the white space behind it, lower-case words) of a text's sentences that have words."""
     out: list[tuple[int, int, int, list[str]]] = []
@@ -45,8 +64,8 @@ def sentences(text: str) -> list[tuple[int, int, int, list[str]]]:
             return
         begin, first, places = start, 0, [m.span() for m in WORD.finditer(text, start, end)]
         words = [text[x:y].lower() for x, y in places]
-        for i, w in enumerate(words[:-1]):
-            if zlib.crc32(w.encode("utf-8", "surrogatepass")) % ONE_IN == 0:
+        for i in cuts(words):
+            if i < len(words) - 1:
                 out.append((begin, places[i][1], places[i + 1][0], words[first : i + 1]))
                 begin, first = places[i + 1][0], i + 1
         out.append((begin, end, after, words[first:]))
@@ -73,11 +92,25 @@ def run_ends(units: list[tuple[int, int, int, list[str]]], run: int, least_words
     return out
 
 
+def run_places(units: list[tuple[int, int, int, list[str]]], run: int, least_words: int) -> dict[int, tuple[int, int]]:
+    """A text's runs, begin and end, by number: twice the first sentence's for the shortest run from a sentence on, and
+    for the shortest run up to a sentence, if it is not also the former, one more than twice the last's."""
+    ends = run_ends(units, run, least_words)
+    out = {2 * i: (i, end) for i, end in enumerate(ends)}
+    begin = 0
+    for end in range(ends[0] if ends else len(units) + 1, len(units) + 1):
+        while begin + 1 < len(ends) and ends[begin + 1] <= end:
+            begin += 1
+        if ends[begin] != end:
+            out[2 * end - 1] = begin, end
+    return out
+
+
 def runs(text: str, run: int, least_words: int) -> list[tuple[int, bytes]]:
-    """(number of the first sentence, digest) of a text's runs."""
+    """(number, digest) of a text's runs."""
     units = sentences(text)
     joined = [" ".join(u[3]) for u in units]
-    return [(i, xxhash.xxh3_128_digest("\n".join(joined[i:end]).encode("utf-8", "surrogatepass"))) for i, end in enumerate(run_ends(units, run, least_words))]
+    return [(n, xxhash.xxh3_128_digest("\n".join(joined[i:end]).encode("utf-8", "surrogatepass"))) for n, (i, end) in run_places(units, run, least_words).items()]
 
 
 def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -85,8 +118,8 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``h1``, ``h2`` (digest), ``doc_id``, ``place`` for every run of every text. A place is the number of the first
-    sentence, and above it the upper half of the text's hash."""
+    """``h1``, ``h2`` (digest), ``doc_id``, ``place`` for every run of every text. A place is the number of the run,
+    and above it the upper half of the text's hash."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in lone(batches, "spans"):
@@ -135,8 +168,8 @@ def remove_repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WO
             for t, first in zip(texts(batch, "text"), batch.column(2), strict=True):
                 first = first.as_py()
                 where = sentences(t) if first else []
-                ends = run_ends(where, run, least_words)
-                covered = sorted({i for f in first or () for i in range(f, ends[f])})
+                places = run_places(where, run, least_words)
+                covered = sorted({i for n in first or () for i in range(*places[n])})
                 removed.append([{"start": where[i][0], "end": where[i][1]} for i in covered])
                 at, kept = 0, []
                 for i in covered:

@@ -239,3 +239,27 @@ def test_passages_inside_other_sentences(spark):
     found = [i for i in range(180) if i % 3 and got[i].changed]
     assert len(found) >= 112 and not any(got[i].changed for i in range(len(texts)) if i >= 180 or i % 3 == 0)
     assert all(len(texts[i].split()) - len(got[i].text.split()) >= 20 for i in found)
+
+
+def test_every_passage_inside_other_sentences(spark):
+    """Each later copy of a passage of 51 to 60 words is found, wherever its ends run into other sentences, and no more
+    than the words up to the first cut and behind the last one stay of it."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passages = [f"{fresh(18)}. {fresh(36)}" if k % 2 else fresh(51 + k % 10) for k in range(120)]
+    texts = [f"{fresh(9)} {p} {fresh(11)}. {fresh(30)}." for p in passages for _ in range(3)]
+    got = {r.doc_id: r for r in span_dedup.op4_spans(documents(spark, texts)).collect()}
+    assert [got[i].changed for i in range(len(texts))] == [i % 3 > 0 for i in range(len(texts))]
+    for i in range(len(texts)):
+        stays = set(got[i].text.split()) & set(passages[i // 3].split())
+        assert i % 3 == 0 or len(stays) <= 2 * span_dedup.LONG
+
+
+def test_tails_of_passages(spark):
+    """A last sentence that only the run up to it covers goes with the passage."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage = f"{fresh(10)}. {fresh(10)}. {fresh(3)}."
+    texts = [f"{fresh(12)}. {passage} {fresh(12)}. {fresh(12)}." for _ in range(2)]
+    got = {r.doc_id: r for r in span_dedup.op4_spans(documents(spark, texts)).collect()}
+    assert got[0].text == texts[0] and got[1].text == texts[1].replace(f"{passage} ", "")

@@ -4,7 +4,10 @@
 again, takes short-time Fourier transforms over them and pairs spectral peaks to fingerprints, kept as two arrays of
 equal length: ``fp_time`` (frame number of the first peak) and ``fp_hash`` (first bin, second bin, distance in frames).
 
-Defined results: a null or empty text gives one unit of spaces; equal texts give equal bytes and fingerprints; a text
+Frames are centred on every HOP-th sample from the first to the end, with both ends mirrored, so that each sample lies
+in several frames with weight and a payload of one unit has pairs.
+
+Defined results: a null or empty text gives one unit of spaces, and samples that are all equal have no pairs; equal texts give equal bytes and fingerprints; a text
 of any length is worked on in blocks of frames, so memory beyond the file itself is bounded; null in a WAV column gives
 null in all that is read from it; extra columns pass through and win no name clash (the operator's own names are
 checked against them).
@@ -28,12 +31,12 @@ from .common import lone, utf8
 
 UNIT = 192
 RATE = 8000
-FRAME, HOP = 256, 192
+FRAME, HOP = 256, 64
 #: Frames transformed at once.
 BLOCK = 4096
 #: Bands of frequency bins; the strongest bin of each band in a frame is a peak if it stands out of that frame.
 BANDS = ((1, 8), (8, 20), (20, 40), (40, 72), (72, 129))
-#: A peak's partners: the next frames' peaks of the following band.
+#: A peak's partners: itself, and the next frames' peaks of the following bands.
 FAN = 2
 STANDS_OUT = 2.0
 
@@ -63,8 +66,8 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each frame and band: the strongest bin, and whether it is a peak."""
-    short = FRAME - len(samples)
-    x = np.concatenate([samples, np.full(short, 128, np.uint8)]) if short > 0 else samples
+    x = samples if len(samples) else np.full(1, 128, np.uint8)
+    x = np.pad(x, (FRAME // 2, FRAME // 2 + -len(x) % HOP), "reflect")
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     bins, strong = [], []
     for at in range(0, len(frames), BLOCK):
@@ -84,7 +87,7 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bins, strong = peaks(samples)
     n, bands = bins.shape
     times, hashes = [], []
-    for d in range(1, FAN + 1):
+    for d in range(FAN + 1):
         if n <= d:
             break
         for b in range(bands):

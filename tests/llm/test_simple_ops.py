@@ -57,6 +57,22 @@ def test_media_fingerprint_by_blocks(monkeypatch):
     assert np.array_equal(t, t2) and np.array_equal(h, h2) and len(t) and (np.diff(t) >= 0).all()
 
 
+def test_media_fingerprint_of_ends_and_short_texts(spark):
+    """Other last 16 bytes and other words in a text of 200 bytes give another feature; one unit has pairs."""
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(n))[:n]
+    texts = []
+    for n in (192, 200, 384, 960, 3840):
+        for _ in range(8):
+            t = prose(n)
+            texts += [t, t[:-16] + prose(16)]
+            texts += [t, t[: n // 2] + prose(16) + t[n // 2 + 16 :]]
+    got = by_id(media.op1_media(documents(spark, texts)))
+    other = [got[i].feature != got[i + 1].feature for i in range(0, len(texts), 2)]
+    assert sum(other) >= 0.9 * len(other)  # peaks are coarse: a few changes move none
+    assert all(got[i].n_pairs > 0 for i in range(len(texts)))
+
+
 def test_media_null_file_and_clash(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, wav binary")
     assert media.read_wav(df).first().payload_bytes is None

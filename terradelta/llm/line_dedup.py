@@ -10,8 +10,8 @@ the join, and what leaves it is verified with banded bit-parallel edit distance.
 A class is a connected component of links (equal lines are one node); its first line by id and number stays, the others
 are removed.
 
-Defined results: lines are cut at newlines and stripped; shorter ones than LEAST characters are never classed nor
-removed; null and empty texts have no lines; null ids come first; rows that agree in id and text are one document; an
+Defined results: lines are cut at newlines and stripped; all that are not blank are classed. Lines of fewer than NEAR
+characters, of which EDITS edits would be more than a sixth, are in a class only with equal ones and have no links; null and empty texts have no lines; null ids come first; rows that agree in id and text are one document; an
 empty table gives no rows. Distinct lines are told apart by 64-bit hashes: among n distinct lines, about n * n / 2**65
 pairs are mistaken for equal.
 """
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import lone, saved, small, texts
 from .components import components
 
-EDITS, LEAST = 2, 32
+EDITS, LEAST = 2, 1
+#: Lines from this length on are linked by edits, shorter ones only classed with equal ones.
+NEAR = 12
 
 
 def eligible(text: str | None, least: int = LEAST) -> list[tuple[int, str]]:
@@ -207,7 +209,7 @@ def _entries(lines: DataFrame, plan, edits: int) -> DataFrame:
     return lines.mapInArrow(run, "key long, line long, sketch long")
 
 
-def linked_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_lines(docs: DataFrame, edits: int = EDITS, least: int = NEAR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs ``a`` < ``b`` (hashes) of different lines within ``edits`` edits."""
     if least <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
@@ -236,7 +238,7 @@ def linked_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col
 def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per line that is classed: ``doc_id``, ``version``, ``line_no``, ``class_id`` (a hash), ``n_links`` (other lines
     within the edits), ``kept`` (whether it is the first of its class)."""
-    links = saved(linked_lines(docs, edits, least, id_col, text), "line-links")
+    links = saved(linked_lines(docs, edits, max(least, NEAR), id_col, text), "line-links")
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     # this table and that of first lines are written, so that the joins with them may split a very common line

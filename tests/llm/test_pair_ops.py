@@ -153,6 +153,15 @@ def test_lines_brute_force(spark):
     assert line_dedup.op2_lines(documents(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    """Every line that is not blank has a row; copies of short ones are classed and removed, near ones only from NEAR on."""
+    docs = documents(spark, ["Les.\n\nA\nhis own river", "Les.\nLes!\n  A ", "his own rivers\nA\nB"])
+    got = {(r.doc_id, r.line_no): (r.n_links, r.kept) for r in line_dedup.op2_lines(docs).collect() if r.doc_id is not None}
+    assert got == {(0, 0): (0, True), (0, 2): (0, True), (0, 3): (1, True), (1, 0): (0, False), (1, 1): (0, True), (1, 2): (0, False), (2, 0): (1, False), (2, 1): (0, False), (2, 2): (0, True)}
+    left = {r.doc_id: r.text for r in line_dedup.without_lines(docs, line_dedup.near_lines(docs)).collect()}
+    assert (left[0], left[1], left[2]) == ("Les.\n\nA\nhis own river", "Les!", "B")
+
+
 def test_spans_brute_force(spark):
     rng = np.random.default_rng(6)
     passage = " ".join(prose(rng, 9).capitalize() + "." for _ in range(6))

@@ -1,10 +1,11 @@
 """Operator 6: token ids in binary shard files under Re-Pair grammars.
 
 A shard (one row of a Parquet file in the shared folder) holds consecutive documents in ascending order of their ids.
-Its grammar is made by rounds: the frequent pairs of neighbouring symbols are counted, each gets a nonterminal, and
-their occurrences are replaced from left to right; no pair crosses a document's end, so that each document is a range of
-symbols. Stored are the rules, each nonterminal's expansion length, the symbols, and each document's range, so that one
-document, or one token of it, is decoded without the others.
+Its grammar is made by rounds: all pairs of neighbouring symbols are counted, those at least a quarter as frequent as the most frequent
+one get nonterminals, and their occurrences are replaced, the more frequent pair first where two overlap. Rounds go on
+until no pair is left whose rule would be shorter than what it saves (LEAST). No pair crosses a document's
+end, so that each document is a range of symbols. Stored are the rules, each nonterminal's expansion length, the symbols,
+and each document's range, so that one document, or one token of it, is decoded without the others.
 
 Defined results: a null or empty text has the end id alone; null ids come first; rows with equal ids lie next to each
 other in any order; an empty table gives no shard and no rows.
@@ -26,71 +27,133 @@ from .tokens import encoder, in_groups
 END = 0
 #: Ids in a shard, about. A longer document is a shard alone.
 SHARD_IDS = 2_000_000
-#: A pair is replaced if it is seen this often in the counted sample of a shard's pairs, up to RULES pairs in a round.
-LEAST, RULES, ROUNDS = 24, 2500, 6
-#: Pairs are counted at each COUNT_STEP-th place; which pairs get rules decides sizes only, never what is decoded.
-COUNT_STEP = 4
-BINS = 1 << 20
-#: Rounds end when one shortens the shard by less than this part.
-GAIN = 0.02
+#: Uses from which a rule pays: it takes 12 bytes (two symbols and a length), and a use saves a symbol of 4.
+LEAST = 4
+#: A round replaces the pairs that are at least one STEP-th as frequent as the most frequent one.
+STEP = 4
+#: Stands for the place at a document's end in tables of pairs.
+NO_PAIR = np.uint64(2**64 - 1)
+FLAGS = 20
 
 SHARD = "shard long, first_id {0}, n_tokens long, doc_ids array<{0}>, doc_tokens binary, doc_ends binary, base int, rules binary, lengths binary, width int, symbols binary"
 
 
+def _bin(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FLAGS)).astype(np.int64)
+
+
+def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, sorted, and how often each stands there."""
+    s = np.sort(pairs)
+    starts = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
+    n = np.diff(starts, append=len(s))
+    end = len(starts) - (len(s) > 0 and s[-1] == NO_PAIR)
+    return s[starts[:end]], n[:end]
+
+
+def _places(active: np.ndarray, pairs: np.ndarray, often: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the frequent pairs stand, which pair stands there, and whether it is replaced there: of places that touch,
+    a more frequent pair's goes first, and of equally frequent ones every other from the left."""
+    flag = np.zeros(1 << FLAGS, bool)
+    flag[_bin(often)] = True
+    i = np.flatnonzero(flag[_bin(pairs)])
+    which = np.minimum(np.searchsorted(often, pairs[i]), len(often) - 1)
+    right = often[which] == pairs[i]
+    at, which = active[i[right]], which[right]
+    touch = np.diff(at) == 1
+    begin = np.ones(len(at), bool)
+    begin[1:] = ~touch | (count[which[1:]] > count[which[:-1]])
+    b = np.flatnonzero(begin)
+    chosen = (np.arange(len(at)) - np.repeat(b, np.diff(b, append=len(at)))) % 2 == 0
+    chosen[:-1] &= ~(begin[1:] & touch)
+    return at, which, chosen
+
+
+#: Ways to look for pairs that do not overlap each other, once those left do so everywhere.
+TRIES = 18
+
+
+def _some(often: np.ndarray, attempt: int) -> np.ndarray:
+    """Which pairs are tried: all; those of one symbol; those that lead from one random half of the symbols to the other,
+    so that none can overlap; one alone."""
+    left, right = often >> np.uint64(32), often & np.uint64(0xFFFFFFFF)
+    if attempt == 0:
+        return np.ones(len(often), bool)
+    if attempt == 1:
+        return left == right
+    if attempt < TRIES:
+        side = lambda x: ((x + np.uint64(attempt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+        return side(left) < side(right)
+    alone = np.zeros(len(often), bool)
+    alone[np.flatnonzero(left != right)[:1]] = True
+    return alone
+
+
 def re_pair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, ends of documents in them, rules (pairs) and expansion lengths. ``ends``: one past each last id."""
     seq = ids.astype(np.uint32)
     last = ends.astype(np.int64) - 1
-    rules: list[np.ndarray] = []
-    lengths = np.ones(0, np.uint32)
-    top = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
-        a, b = seq[:-1], seq[1:]
-        bins = a * np.uint32(0x9E3779B1)
-        bins += b * np.uint32(0x85EBCA77)
-        bins >>= np.uint32(12)
-        sample = bins[::COUNT_STEP]
-        counts = np.bincount(sample, minlength=BINS)
-        often = np.flatnonzero(counts >= LEAST)
-        if not len(often):
-            break
-        if len(often) > RULES:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:RULES]])
-        place = np.full(BINS, -1, np.int32)
-        place[often] = np.arange(len(often), dtype=np.int32)
-        # the pair of a bin: its first in the sample
-        which = place[sample]
-        at = np.flatnonzero(which >= 0)
-        first = np.empty(len(often), np.int64)
-        first[which[at[::-1]]] = at[::-1] * COUNT_STEP
-        left, right = seq[first], seq[first + 1]
-        which = place[bins]
-        at = np.flatnonzero(which >= 0)
-        which = which[at]
-        inner = np.ones(len(seq), bool)
-        inner[last] = False
-        fits = (left[which] == seq[at]) & (right[which] == seq[at + 1]) & inner[at]
-        at, which = at[fits], which[fits]
-        # of places that touch, every other one from the left
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        in_run = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
-        free = in_run % 2 == 0
-        at, which = at[free], which[free]
-        if len(at) < GAIN * len(seq):
-            break
-        seq[at] = top + which.astype(np.uint32)
+    rules, lengths, top = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32), base
+    limit, attempt = 0, 0
+    active = None  # places that may hold a pair of the limit; None: all
+    while len(seq) > 1:
+        if active is None:
+            pairs = seq[:-1].astype(np.uint64) << np.uint64(32)
+            pairs |= seq[1:]
+            pairs[last[last < len(pairs)]] = NO_PAIR
+            at = np.arange(len(pairs))
+        else:
+            at = active
+            pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        known, n = _counted(pairs)
+        most = int(n.max(initial=0))
+        if active is None:
+            limit = max(LEAST, -(-most // STEP))
+        often, n = known[n >= limit], n[n >= limit]
+        some = _some(often, attempt)
+        chosen = np.zeros(0, bool)
+        if some.any():
+            at, which, chosen = _places(at, pairs, often[some], n[some])
+            pays = np.bincount(which[chosen], minlength=int(some.sum())) >= LEAST
+            chosen &= pays[which]
+        if not chosen.any():
+            if limit > LEAST:
+                limit, active = (LEAST, np.arange(len(seq) - 1)[_inner(seq, last)]) if active is None else (0, None)
+            elif not len(often) or attempt == TRIES:
+                break
+            else:
+                attempt += 1
+            continue
+        made, number = often[some][pays], np.cumsum(pays) - 1
+        left, right = (made >> np.uint64(32)).astype(np.uint32), made.astype(np.uint32)
+        here = at[chosen]
+        seq[here] = (top + number[which[chosen]]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        last = np.cumsum(keep)[last] - 1
-        seq = seq[keep]
-        size = lambda s: np.where(s < base, 1, lengths[np.maximum(s.astype(np.int64) - base, 0)] if len(lengths) else 1)  # noqa: E731, B023
+        keep[here + 1] = False
+        moved = np.cumsum(keep) - 1
+        if attempt:
+            attempt, active = 0, None
+        else:  # a pair as frequent as the limit has a new symbol, or stood at a place that was not replaced
+            rest, new = at[~chosen], moved[here]
+            active = np.concatenate([moved[rest[keep[rest]]], new, new[new > 0] - 1])
+        last, seq = moved[last], seq[keep]
+        if active is not None:
+            mark = np.zeros(len(seq), bool)
+            mark[active] = True
+            mark[last] = False
+            active = np.flatnonzero(mark)
+        size = lambda s: np.where(s < base, 1, np.append(lengths, 0)[np.maximum(s.astype(np.int64) - base, 0)])  # noqa: E731, B023
         lengths = np.concatenate([lengths, (size(left) + size(right)).astype(np.uint32)])
         rules.append(np.stack([left, right], axis=1))
-        top += len(often)
-    made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return seq, last + 1, made.astype(np.uint32), lengths.astype(np.uint32)
+        top += len(made)
+    return seq, last + 1, np.concatenate(rules), lengths
+
+
+def _inner(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places that are not a document's end, without the last place."""
+    out = np.ones(len(seq), bool)
+    out[last] = False
+    return out[:-1]
 
 
 def expansions(base: int, rules: np.ndarray) -> list[bytes]:

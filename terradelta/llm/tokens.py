@@ -2,9 +2,10 @@
 
 A byte-level BPE file without normaliser cuts a text before each single space and around each single newline whatever
 stands beside them, so the ids of a text are its words' ids in a row. A worker remembers the ids of the words it has met
-in flat arrays and gives the library only the new ones, many in one call. A batch's words are looked up all at once: by
-two polynomial hashes of their bytes (about 120 bits), taken from running sums over the batch. Texts with other white
-space, with runs of it or with a special token's string go to the library whole.
+in flat arrays and gives the library only the new ones, many in one call. A batch's words are looked up all at once by
+two polynomial hashes of their bytes, taken from running sums over the batch, and the bytes of each word that is found
+are compared with the remembered ones; a word whose hashes are another word's goes to the library by itself. Texts with
+other white space, with runs of it or with a special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import held  # noqa: E402
 #: Words remembered in a worker (half of its table's slots); beyond it, the memory starts anew.
 SLOT_BITS = 21
 REMEMBERED = 1 << (SLOT_BITS - 1)
+#: Bytes of remembered words, at which it starts anew too.
+REMEMBERED_BYTES = 32 << 20
 #: Texts longer than this many characters are worked on in blocks that end before a space.
 LONG = 1 << 19
 #: Marks a word without a space before it.
@@ -69,20 +72,42 @@ class _Hash:
         return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: str):
+        self.data, self.used = np.empty(1 << 20, kind), 0
+
+    def add(self, more: np.ndarray) -> int:
+        """Where ``more`` begins."""
+        while self.used + len(more) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        at, self.used = self.used, self.used + len(more)
+        self.data[at : self.used] = more
+        return at
+
+
 class _Words:
-    """From hashes of words to their ids: open addressing in arrays."""
+    """From words to their ids: open addressing in arrays by two hashes; ids and bytes of words lie in pools."""
 
     def __init__(self):
         size = 1 << SLOT_BITS
         self.a, self.b = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.at, self.n = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
-        self.pool, self.used, self.words = np.empty(1 << 20, "<u4"), 0, 0
+        self.bytes_at, self.bytes_n = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
+        self.pool, self.bytes, self.words = _Pool("<u4"), _Pool("u1"), 0
 
     def _slots(self, a: np.ndarray) -> np.ndarray:
         return ((a * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The slot of each word, -1 for unknown ones."""
+        """The slot that has each word's hashes, -1 for unknown ones."""
         out, left, slot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._slots(a)
         while len(left):
             there = self.a[slot]
@@ -92,12 +117,23 @@ class _Words:
             left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
         return out
 
-    def add(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Different, unknown words; ``ids`` has theirs in a row."""
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
+    def others(self, slots: np.ndarray, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the words whose bytes are not those remembered in their slots."""
+        sizes, theirs = ends - starts, self.bytes_n[slots].astype(np.int64)
+        wrong = sizes != theirs
+        same = np.flatnonzero(~wrong & (sizes > 0))
+        if len(same):
+            n = sizes[same]
+            differ = self.bytes.data[_ranges(self.bytes_at[slots[same]].astype(np.int64), n)] != buffer[_ranges(starts[same], n)]
+            if differ.any():
+                wrong[same] |= np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        return np.flatnonzero(wrong)
+
+    def add(self, a: np.ndarray, b: np.ndarray, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Words of different, unknown hashes; ``ids`` has theirs in a row, ``sizes`` their numbers."""
+        at = self.pool.add(ids) + np.cumsum(sizes) - sizes
+        lengths = np.array([len(x) for x in words], np.int64)
+        bytes_at = self.bytes.add(np.frombuffer(b"".join(words), np.uint8)) + np.cumsum(lengths) - lengths
         left, slot = np.arange(len(a)), self._slots(a)
         while len(left):
             free = np.flatnonzero(self.a[slot] == 0)
@@ -105,20 +141,12 @@ class _Words:
             won = free[first]
             i = left[won]
             self.a[where], self.b[where], self.at[where], self.n[where] = a[i], b[i], at[i], sizes[i]
+            self.bytes_at[where], self.bytes_n[where] = bytes_at[i], lengths[i]
             on = np.ones(len(left), bool)
             on[won] = False
             left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
-        self.used += len(ids)
         self.words += len(a)
 
-    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids in a row, and their numbers."""
-        n = self.n[slots].astype(np.int64)
-        ends = np.cumsum(n)
-        place = np.repeat(self.at[slots].astype(np.int64) - (ends - n), n)
-        place += np.arange(len(place))
-        return self.pool[place], n
-
 
 class ByteLevelEncoder:
     """Call it with texts; it gives their ids as bytes, four to an id, little-endian."""
@@ -143,19 +171,19 @@ class ByteLevelEncoder:
     def _fresh(self) -> _Words:
         out = _Words()
         special = {"": self._whole(" "), "\n": self.newline, BARE: b""}
-        raw = b" ".join(x.encode() for x in special)
-        a, b, _, _ = self._hashed(raw)
+        words = [x.encode() for x in special]
+        a, b, *_ = self._hashed(b" ".join(words))
         ids = [np.frombuffer(x, "<u4") for x in special.values()]
-        out.add(a, b, np.array([len(x) for x in ids]), np.concatenate(ids))
+        out.add(a, b, words, np.array([len(x) for x in ids]), np.concatenate(ids))
         return out
 
-    def _hashed(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two hashes of each word between spaces (the first is never 0), and where it starts and ends."""
+    def _hashed(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of each word between spaces (the first is never 0), where it starts and ends, and the bytes."""
         buffer = np.frombuffer(raw, np.uint8)
         spaces = np.flatnonzero(buffer == 32)
         starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(buffer))
         a, b = (h(buffer, starts, ends) for h in self.hashes)
-        return a | np.uint64(1), b, starts, ends
+        return a | np.uint64(1), b, starts, ends, buffer
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -173,38 +201,36 @@ class ByteLevelEncoder:
             raise RuntimeError("the tokenizer joins words over a newline")
         return ids[~is_end], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, new: list[str], a: np.ndarray, b: np.ndarray) -> None:
-        simple, rest = [], []
+    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and their numbers."""
+        simple, marked, cores, marks, other = [], [], [], [], []
         for i, x in enumerate(new):
-            (simple if self.letters is not None and (x[1:] if x[0] == BARE else x).isalpha() else rest).append(i)
-        # letters, then marks: two pre-tokens, each by itself
-        marked, cores, marks, other = [], [], [], []
-        for i in rest:
-            x = new[i]
-            core = x.rstrip(MARKS)
-            if self.letters is not None and core and core != x and (core[1:] if core[0] == BARE else core).isalpha():
+            bare = x[1:] if x[0] == BARE else x
+            if self.letters is not None and bare.isalpha():
+                simple.append(i)
+                continue
+            core = bare.rstrip(MARKS)
+            if self.letters is not None and core != bare and core.isalpha():  # letters, then marks: two pre-tokens, each by itself
                 marked.append(i)
-                cores.append(core)
-                marks.append(BARE + x[len(core) :])
+                cores.append(x[: len(x) - len(bare) + len(core)])
+                marks.append(BARE + bare[len(core) :])
             else:
                 other.append(i)
+        kinds = {m: k for k, m in enumerate(sorted(set(marks)))}
         ids, sizes = self._encode(self.letters or self.tk, [new[i] for i in simple] + cores)
-        kinds = sorted(set(marks))
-        more, more_sizes = self._encode(self.tk, kinds + [new[i] for i in other])
-        k, c = len(simple), len(kinds)
-        self.known.add(a[simple], b[simple], sizes[:k], ids[: sizes[:k].sum()])
-        if marked:
-            tail_at = np.cumsum(more_sizes[:c]) - more_sizes[:c]
-            which = np.array([kinds.index(m) for m in marks]) if c < 50 else np.searchsorted(np.array(kinds), np.array(marks))
-            both = np.stack([sizes[k:], more_sizes[which]], axis=1)
-            flat = np.concatenate([ids[sizes[:k].sum() :], more[: more_sizes[:c].sum()]])
-            core_ids = sizes[k:].sum()
-            begin = np.stack([np.cumsum(sizes[k:]) - sizes[k:], core_ids + tail_at[which]], axis=1).ravel()
-            lengths = both.ravel()
-            place = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            self.known.add(a[marked], b[marked], both.sum(axis=1), flat[place])
-        if other:
-            self.known.add(a[other], b[other], more_sizes[c:], more[more_sizes[:c].sum() :])
+        more, more_sizes = self._encode(self.tk, [*kinds, *(new[i] for i in other)])
+        # each word is up to two ranges of all these ids
+        flat, n = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
+        at = np.cumsum(n) - n
+        part = np.zeros((len(new), 2), np.int64)
+        some = np.zeros((len(new), 2), bool)
+        for which, where, begin in ((simple, 0, 0), (marked, 0, len(simple)), (other, 0, len(sizes) + len(kinds))):
+            part[which, where] = begin + np.arange(len(which))
+            some[which, where] = True
+        part[marked, 1] = len(sizes) + np.array([kinds[m] for m in marks], np.int64)
+        some[marked, 1] = True
+        lengths = np.where(some, n[part], 0) if len(n) else np.zeros_like(part)
+        return flat[_ranges(at[part].ravel(), lengths.ravel())] if len(n) else flat, lengths.sum(axis=1)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -223,20 +249,29 @@ class ByteLevelEncoder:
     def _joined(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        if self.known.words > REMEMBERED:
+        if self.known.words > REMEMBERED or self.known.bytes.used > REMEMBERED_BYTES:
             self.known = self._fresh()
         cut = [f"{BARE}{t}".replace("\n", f" \n {BARE}").encode() for t in texts]
-        raw = b" ".join(cut)
-        a, b, starts, ends = self._hashed(raw)
-        slots = self.known.find(a, b)
+        raw, known = b" ".join(cut), self.known
+        a, b, starts, ends, buffer = self._hashed(raw)
+        word = lambda which: [raw[s:e] for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        slots = known.find(a, b)
         new = np.flatnonzero(slots < 0)
         if len(new):
             _, first = np.unique(np.stack([a[new], b[new]], axis=1).view("V16").ravel(), return_index=True)
             first = np.sort(new[first])
-            words = [raw[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            self._learn(words, a[first], b[first])
-            slots[new] = self.known.find(a[new], b[new])
-        ids, n = self.known.ids(slots)
+            words = word(first)
+            ids, sizes = self._ids([x.decode() for x in words])
+            known.add(a[first], b[first], words, sizes, ids)
+            slots[new] = known.find(a[new], b[new])
+        at, n = known.at[slots].astype(np.int64), known.n[slots].astype(np.int64)
+        pool = known.pool.data
+        others = known.others(slots, buffer, starts, ends)
+        if len(others):  # their hashes are another word's
+            ids, sizes = self._ids([x.decode() for x in word(others)])
+            at[others], n[others] = known.pool.used + np.cumsum(sizes) - sizes, sizes
+            pool = np.concatenate([pool[: known.pool.used], ids])
+        ids = pool[_ranges(at, n)]
         text_ends = np.cumsum([len(x) + 1 for x in cut]) - 1
         last = np.searchsorted(starts, text_ends, side="right")  # words up to each text's end
         edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], last])].tolist()

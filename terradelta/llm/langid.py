@@ -11,7 +11,8 @@ Trees are kept as sorted arrays by order. A worker remembers the code lengths of
 table with direct addresses, which changes no result.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; so is all if there is nothing to learn
-from; ties go to the language first in alphabetical order; null ids are never learned from and count as held out.
+from; ties go to the language first in alphabetical order; null ids are never learned from and count as held out; more
+than MOST_LANGUAGES languages to learn from raise, as all models are broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, parts, texts, utf8
+from .common import held, parts, small, texts, utf8
 
 ORDER = 4
 #: Training text for a language, in bytes (expected; rows are drawn by a hash), and the longest text that is drawn.
@@ -156,27 +157,41 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "utf-8")) % 5 == 0, F.lit(True))
 
 
+#: Draws are whole numbers below this.
+DRAWS = 1 << 62
+#: Models are broadcast, so that their number is bounded; more languages raise.
+MOST_LANGUAGES = 500
+
+
+def share(size: int) -> int:
+    """Draws below this are learned from: about TRAIN_BYTES of a language that has ``size`` bytes, however many."""
+    return min(DRAWS, -(-DRAWS * TRAIN_BYTES // max(size, 1)))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from about TRAIN_BYTES of whole texts of each language that are not held out."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), held_out(F.col(id_col)).alias("held_out"), F.xxhash64(F.col(id_col), F.col(text)).alias("draw"))
+    """Learns from about TRAIN_BYTES of whole texts of each language that are not held out, from one text at least."""
+    spark = docs.sparkSession
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text)), 2)
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), held_out(F.col(id_col)).alias("held_out"), draw.alias("draw"))
     rows = rows.filter(~F.col("held_out") & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.octet_length("text").between(1, TRAIN_LONGEST))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.min("draw").alias("least")).limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return Model([], [])
-    share = F.lit(0)
-    for name, size in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1_000_000, round(1_000_000 * TRAIN_BYTES / size)))).otherwise(share)
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    wanted = spark.createDataFrame([(r["lang"], max(share(r["size"]), r["least"] + 1)) for r in sizes], "lang string, below long")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, list[bytes]] = {}
         for batch in batches:
-            for name, raw in zip(batch.column(1).to_pylist(), utf8(batch, "text"), strict=True):
+            for name, raw in zip(batch.column(0).to_pylist(), utf8(batch, "text"), strict=True):
                 by.setdefault(name, []).append(raw)
-        langs = sorted(by)
-        yield pa.RecordBatch.from_arrays([pa.array([Model(langs, [Tree.trained(by[x]) for x in langs]).dump()], pa.binary())], ["model"])
+        for name, samples in by.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([Model([name], [Tree.trained(samples)]).dump()], pa.binary())], ["lang", "model"])
 
-    got = rows.filter(F.pmod("draw", F.lit(1_000_000)) < share).select("text", "lang").repartition(1).mapInArrow(fit, "model binary").collect()
-    return Model.load(bytes(got[0][0])) if got else Model([], [])
+    drawn = rows.join(small(wanted, len(sizes)), "lang").filter("draw < below").select("lang", "text")
+    got = drawn.repartition(min(len(sizes), 64), "lang").mapInArrow(fit, "lang string, model binary").collect()
+    return Model(sorted(r["lang"] for r in got), [Model.load(bytes(r["model"])).trees[0] for r in sorted(got, key=lambda r: r["lang"])])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:

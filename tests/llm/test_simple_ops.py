@@ -361,6 +361,21 @@ def test_language_edge_cases(spark):
     assert langid.op9_language(documents(spark, [])).count() == 0
 
 
+def test_language_share_at_any_size():
+    for size in (1, 10**6, 10**9, 10**12, 10**14, 10**18):
+        part = langid.share(size) / langid.DRAWS
+        assert 0 < part <= 1 and (part == 1 if size <= langid.TRAIN_BYTES else abs(part * size / langid.TRAIN_BYTES - 1) < 1e-3)
+
+
+def test_language_learns_each_from_a_tiny_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 1)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert langid.train(docs).langs == sorted(r.lang for r in docs.filter("lang is not null").select("lang").distinct().collect())
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.train(docs)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.op9_language(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out and length(text) > 100").collect()

@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lone, saved, small, texts
@@ -252,26 +252,30 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
 
 def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``documents`` without the lines that are not kept. A document that loses all its text goes, as its text stands
-    elsewhere; one that was blank before stays. ``n_chars`` follows the new text."""
-    gone = lines.filter(~F.col("kept")).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_gone")
-    kind, schema = docs.select("text").schema[0].dataType, docs.schema
+    elsewhere; one that was blank before stays. ``n_chars``, if there is such a column, follows the new text; all other
+    columns, whatever their names, pass through."""
+    gone = lines.filter(~F.col("kept")).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("numbers"))
+    # a row's other columns travel as one value, so that no name can clash
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in others)).alias("row"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("of"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("version")), "left").select("row", "text", "numbers")
+    schema = rows.select("row", "text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lone(batches, "lines"):
             out, keep = [], []
-            for t, numbers in zip(texts(batch, "text"), batch.column(batch.schema.get_field_index("_gone")), strict=True):
+            for t, numbers in zip(texts(batch, "text"), batch.column(2), strict=True):
                 numbers = set(numbers.as_py() or ())
                 new = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in numbers) if numbers else t
                 keep.append(not numbers or bool(new.strip()))
                 out.append(new)
-            at = batch.schema.get_field_index("text")
-            done = batch.set_column(at, "text", pa.array(out, batch.schema.field(at).type)).select([f.name for f in schema.fields])
+            done = pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.schema.field(1).type)], ["row", "text"])
             yield done.filter(pa.array(keep, pa.bool_()))
 
-    assert kind.simpleString() == "string"
-    joined = docs.withColumn("_v", F.xxhash64("text")).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
-    return joined.select(*docs.columns, "_gone").mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    def value(c: str) -> Column:
+        return F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c)
+
+    return joined.mapInArrow(run, schema).select(*map(value, docs.columns))
 
 
 def op2_lines(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ star nor a key's group is ever gathered in one task.
 
 Defined results: null and empty texts and texts without words have an empty set and no links; a text of fewer words
 than a shingle is one shingle; rows with null ids are not linked, stay, and have a null component; rows of equal ids
-and other texts are nodes by their texts; an empty table gives no rows; other columns are not read.
+and other texts are nodes by their texts; ids are whole numbers (others raise in the cast); an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,8 +99,9 @@ def signatures(sets: list[np.ndarray], symbols: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, symbols: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, a 128-bit digest of the set (``d1``, ``d2``; null: empty) and its signature."""
-    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """Per row: ``doc_id``, ``version`` (a hash of its text), ``n_shingles``, a 128-bit digest of the set (``d1``, ``d2``;
+    null: empty) and its signature."""
+    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 500):
@@ -109,23 +111,26 @@ def sketch(docs: DataFrame, width: int, symbols: int, id_col: str = "doc_id", te
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             halves = [tuple(np.frombuffer(d, np.int64).tolist()) if d else (None, None) for d in digests]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array([next(signed) if len(s) else None for s in sets], pa.list_(pa.int16()))],
-                ["doc_id", "n_shingles", "d1", "d2", "signature"],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array([next(signed) if len(s) else None for s in sets], pa.list_(pa.int16()))],
+                ["doc_id", "version", "n_shingles", "d1", "d2", "signature"],
             )
 
-    return one.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, signature array<short>")
+    return one.mapInArrow(run, "doc_id long, version long, n_shingles long, d1 long, d2 long, signature array<short>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, rows: int, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``node``, ``set`` (array of shingle hashes) for the documents that are named in ``nodes``."""
-    one = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(small(nodes, rows), "node", "left_semi")
+    """``node``, ``set`` (array of shingle hashes) for the ``rows`` documents (``doc_id``, ``version``) named in ``nodes``."""
+    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
+    one = one.join(small(nodes.select("node", "doc_id", "version"), rows), ["doc_id", "version"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 500):
             sets = [shingles(raw, width).view(np.int64) for raw in utf8(part, "text")]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    return one.mapInArrow(run, "node long, set array<long>")
+    sets = saved(one.mapInArrow(run, "node long, set array<long>"), "sets")
+    # rows that agree in id and text have given a set each
+    return sets if sets.count() == rows else saved(sets.groupBy("node").agg(F.first("set").alias("set")), "one-set-each")
 
 
 def keys_of(signature: Column, chunks: int) -> Column:
@@ -228,16 +233,17 @@ def block_links(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[in
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
+    """Per row: ``doc_id``, ``version``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
 
     Links: 100 * shared shingles >= ``percent`` * shingles of both.
     """
     chunks = chunks_for(percent / 100)
     symbols = CHUNK * chunks
     sketched = saved(sketch(docs, width, symbols, id_col, text), "sketches")
-    nodes = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature"), "doc_id").alias("x"))
+    # a node is a set; its number is its own, as several texts may have one id
+    nodes = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "version", "n_shingles", "signature"), "doc_id").alias("x"))
     words = -(-symbols // 32)
-    nodes = saved(nodes.select("d1", "d2", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), F.col("x.signature").alias("signature")), "nodes")
+    nodes = saved(nodes.select("d1", "d2", F.monotonically_increasing_id().alias("node"), "x.doc_id", "x.version", F.col("x.n_shingles").alias("n"), "x.signature"), "nodes")
 
     keys = nodes.select("node", F.explode(keys_of(F.col("signature"), chunks)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
@@ -248,8 +254,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
     centres = placed.groupBy("key").agg(F.max(F.struct("standing", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
     stars = saved(keys.join(centres, "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct(), "stars")
 
-    involved = keys.select("node").distinct()
-    sets = saved(full_sets(docs, involved, involved.count(), width, id_col, text), "sets")
+    involved = saved(nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version"), "involved")
+    sets = full_sets(docs, involved, involved.count(), width, id_col, text)
     facts = nodes.select("node", "n", *(w.alias(f"w{i}") for i, w in enumerate(packed(F.col("signature"), symbols))))
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -276,12 +282,35 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
     torn = saved(torn.join(part("b", "_p"), "b", "left").select("b", F.coalesce("_p", "b").alias("home")), "torn")
     final = components(first.unionByName(saved(links_in_stars(members.join(torn, "b"), sets, percent), "star-links")))
 
-    classes = nodes.select("d1", "d2", "node").join(final, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    rows = sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    linked = saved(nodes.select("d1", "d2", "doc_id", "node").join(final, "node"), "linked")
+    # written, so that the join may split a large component
+    least = saved(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    linked = linked.join(least, "component").select("d1", "d2", "component_id")
+    alone = nodes.join(final, "node", "left_anti").select("d1", "d2", F.col("doc_id").alias("component_id"))
+    classes = saved(linked.unionByName(alone), "classes")
+    rows = sketched.select("doc_id", "version", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return rows.select("doc_id", "version", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies of others, with all their columns, whatever the names: of each group the
+    smallest id stays, and one row where it has several with the same text. Rows of one id with other texts are judged
+    by their own; rows without id stay."""
+    judged = saved(near_duplicates(docs, width, percent, id_col, text), "judged")
+    gone = saved(judged.filter(~F.col("kept")).select("doc_id", "version").distinct(), "gone")
+    again = judged.filter("kept and doc_id is not null").groupBy("doc_id", "version").agg(F.count("*").alias("rows")).filter("rows > 1")
+    again = saved(again.select("doc_id", "version"), "again")
+    # a row travels as one value, so that no name can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("of"))
+    same = (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("version"))
+    kept = rows.join(small(gone, gone.count()), same, "left_anti")
+    if many := again.count():
+        repeated = kept.join(small(again, many), same, "left_semi").groupBy("id", F.col("row").getField(text)).agg(F.first("row").alias("row"))
+        kept = kept.join(small(again, many), same, "left_anti").select("row").unionByName(repeated.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_near_duplicates(docs: DataFrame) -> DataFrame:
     """All documents; three-word shingles, similarity 0.85 and more."""
-    return near_duplicates(docs, 3, 85)
+    return near_duplicates(docs, 3, 85).drop("version")

@@ -75,6 +75,27 @@ def test_near_duplicates_of_none_and_repeated_ids(spark):
     assert minhash.op10_near_duplicates(twice).count() == 6
 
 
+def test_one_of_each_by_text(spark):
+    """Ids that repeat: a text that is no copy of another stays, a repeated row stays once, other columns pass through."""
+    body, other = prose(np.random.default_rng(1), 60), prose(np.random.default_rng(2), 60)
+    third = prose(np.random.default_rng(3), 60)
+    rows = [(1, body, "p"), (2, body, "q"), (2, other, "r"), (3, third, "s"), (3, third, "s"), (3, third, "s"), (4, third + " more", "t"), (None, body, "u"), (None, body, "u"), (5, None, "v"), (5, "", "w")]
+    rows += [(6, other + " end", "x"), (6, body + " end", "y")]
+    for names in ("_gone", "_id", "_v", "version", "row", "doc.id"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, `{names}` string")
+        got = minhash.one_of_each(docs, 5, 80)
+        assert got.columns == docs.columns
+        left = sorted((r[2], r[0], r[1]) for r in got.collect())
+        assert [x[0] for x in left] == ["p", "r", "s", "u", "u", "v", "w"], left
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    body, other = prose(np.random.default_rng(1), 60), prose(np.random.default_rng(2), 60)
+    docs = spark.createDataFrame([(7, body), (7, other), (8, other + " x"), (9, body + " x"), (2, "alone")] + [(7, body)] * 50, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, 3, 85).distinct().collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(2, 2, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False)]
+
+
 def test_signature_distance_is_found_by_keys(spark):
     """Any two signatures with fewer than 2 * chunks different symbols share a key."""
     rng = np.random.default_rng(2)
@@ -153,6 +174,15 @@ def test_lines_brute_force(spark):
     assert line_dedup.op2_lines(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("names", ["_gone", "_id", "_v", "numbers", "version", "row", "n.x"])
+def test_lines_with_clashing_columns(spark, names):
+    """Any further column passes through, and none of documents' own is needed but id and text."""
+    docs = spark.createDataFrame([(1, "a first long line\nanother line here", 5), (2, "a first long line\nown words", 6), (3, "a first long line", 7)], f"doc_id long, text string, `{names}` int")
+    got = line_dedup.without_lines(docs, line_dedup.near_lines(docs))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a first long line\nanother line here", 5), (2, "own words", 6)]
+
+
 def test_short_lines(spark):
     """Every line that is not blank has a row; copies of short ones are classed and removed, near ones only from NEAR on."""
     docs = documents(spark, ["Les.\n\nA\nhis own river", "Les.\nLes!\n  A ", "his own rivers\nA\nB"])
@@ -231,11 +261,25 @@ def test_pipeline_by_stages(spark):
 
 
 def test_pipeline_with_odd_rows(spark):
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", None, 0), (2, "the of and", "en", "s", 3), (2, "the of and", "en", "s", 3), (3, "word " * 9000, None, "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.saved(stage(spark, docs, "/root/testdata/sf0.001"), "odd")
-        assert docs.count() >= 0
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone int, _id int, _v int"
+    rows = [(None, None, None), (1, None, "en"), (1, "", "en"), (2, "the of and", "en"), (2, "the of and", "en"), (2, "of the river by the old mill", "en"), (3, "word " * 9000, None), (4, "the of and", "en"), (5, "of the river\nthe of and", "en")]
+    odd = spark.createDataFrame([(i, t, lang, "s", 3, 1, 2, 3) for i, t, lang in rows], schema)
+    left = []
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.saved(stage(spark, docs, "/root/testdata/sf0.001"), "odd")
+        left.append(docs.collect())
+    assert all(r._gone == 1 and r._id == 2 and r._v == 3 for step in left[:4] for r in step)
+    texts = [sorted((r.doc_id, r.text) for r in step) for step in left[:4]]
+    words = [(2, "of the river by the old mill"), (2, "the of and"), (3, "word " * 9000)]
+    assert texts[0] == sorted([*words, (2, "the of and"), (4, "the of and"), (5, "of the river\nthe of and")])
+    assert texts[1] == sorted([*words, (2, "the of and"), (5, "of the river")])
+    assert texts[2] == texts[3] == sorted([*words, (5, "of the river")])
+    assert sorted({r.doc_id for r in left[4]}) == [2, 3, 5]
+    docs = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.saved(stage(spark, docs, "/root/testdata/sf0.001"), "odd")
+        assert docs.count() == 0
 
 
 def test_passages_inside_other_sentences(spark):

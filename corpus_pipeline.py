@@ -20,11 +20,11 @@ LEAST_SCORE = 0.5
 
 def rows_and_text(docs: DataFrame) -> DataFrame:
     """A row's other columns as one value beside its text: an operator that takes it for the id hands the row through."""
-    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    return docs.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text")).alias("row"), "text")
 
 
 def whole_rows(judged: DataFrame, columns: list[str]) -> DataFrame:
-    return judged.select(*(F.col("text") if c == "text" else F.col("doc_id")[c].alias(c) for c in columns))
+    return judged.select(*(F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more. Rows without id stay."""
     long_rows(spark)
-    gone = minhash.near_duplicates(docs, 5, 80).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return minhash.one_of_each(docs, 5, 80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

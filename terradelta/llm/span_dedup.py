@@ -1,16 +1,21 @@
 """Operator 4: repeated passages by sliding spans of sentences.
 
 A text is cut into sentences (behind ``.``, ``!`` or ``?`` before white space, and at newlines). Sentences of more than
-LONG words are cut further, behind the word with the least hash of each LONG words in a row, so that a passage is found
-whose ends run into other sentences: where it is cut depends on its own words alone, and each LONG words in a row of a
-long sentence have a cut. From each sentence on, and up to each sentence, the shortest run of at least RUN consecutive
-sentences that has LEAST_WORDS words is hashed to 128 bits; the runs of all documents are joined, and a run that stands
-in several places is kept in the first (by id, then place). Sentences that any other occurrence covers are removed; all
-else, white space included, stays as it is.
+LONG words are cut further, behind the word with the least hash of each LONG words in a row (winnowing), so that a
+passage is found whose ends run into other sentences: where it is cut depends on its own words alone, but for ties. A
+tie keeps the cut that stands, so that a word said over and over is cut each LONG words and not behind each word.
+
+From each sentence on, and up to each sentence, the shortest run of at least RUN consecutive sentences that has
+LEAST_WORDS words is hashed to 96 bits; the runs of all documents are joined, and a run that stands in several places is
+kept in the first (by id, then text, then number). A longer run that repeats is covered by the shortest ones in it.
+Sentences that any other occurrence covers are removed; all else, white space included, stays as it is. Fewer words make
+chance repeats: of sf0.1's documents that share no 40 words with others, 32 % have two sentences in a row that stand
+elsewhere too, 7 % three, and 2 % a run of 20 words.
 
 Defined results: case and white space do not tell sentences apart; null texts stay null and empty texts empty; a text
-that is shorter than a run has none; null ids come first; rows that agree in id and text are one document (the first
-place is in each of them); an empty table gives no rows; other columns are not read.
+that is shorter than a run has none; ids are whole numbers (others raise in the cast); null ids come first; rows that
+agree in id and text are one document (the first place is in each of them); an empty table gives no rows; other columns
+are not read. Among n different runs, about n * n / 2**97 pairs are mistaken for equal: 0.0003 for 100 TB.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ WORD = re.compile(r"\S+")
 
 
 def cuts(words: list[str]) -> list[int]:
-    """Numbers of the words of a long sentence that it is cut behind: the last of the least hashes of each LONG words."""
+    """Numbers of the words of a long sentence that it is cut behind: the least hash of each LONG words; of equal ones
+    that which is cut already, else the last."""
     h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
     out, at = [], -1
     for end in range(LONG, len(h) + 1):
@@ -46,7 +52,7 @@ def cuts(words: list[str]) -> list[int]:
             while h[at] != least:
                 at -= 1
             out.append(at)
-        elif h[end - 1] <= h[at]:
+        elif h[end - 1] < h[at]:
             at = end - 1
             out.append(at)
     return out
@@ -118,39 +124,36 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``h1``, ``h2`` (digest), ``doc_id``, ``place`` for every run of every text. A place is the number of the run,
-    and above it the upper half of the text's hash."""
+    """``h1``, ``h2`` (digest), ``doc_id``, ``version``, ``number`` for every run of every text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in lone(batches, "spans"):
-            sizes, at, digests = [], [], []
+            sizes, numbers, digests = [], [], []
             for t in texts(part, "text"):
                 found = runs(t or "", run, least_words)
                 sizes.append(len(found))
-                at += [i for i, _ in found]
+                numbers += [i for i, _ in found]
                 digests += [d for _, d in found]
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            whose = np.repeat(np.arange(part.num_rows), sizes)
-            place = (part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[whose] >> 32 << 32) | np.array(at, np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)), part.column(0).take(pa.array(whose)), pa.array(place)], ["h1", "h2", "doc_id", "place"])
+            whose = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+            made = [pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(halves[:, 1].astype(np.int32)), part.column(0).take(whose), part.column(1).take(whose), pa.array(numbers, pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, ["h1", "h2", "doc_id", "version", "number"])
 
-    return _source(docs, id_col, text).mapInArrow(make, "h1 long, h2 long, doc_id long, place long")
+    return _source(docs, id_col, text).mapInArrow(make, "h1 long, h2 int, doc_id long, version long, number int")
 
 
 def repeated(spans: DataFrame) -> DataFrame:
-    """Per document with occurrences that are not the first: ``doc_id``, ``version`` (upper half of the text's hash),
-    ``runs`` (numbers).
+    """Per document with occurrences that are not the first: ``doc_id``, ``version``, ``runs`` (numbers).
 
-    Counting goes by half of the digest alone; only runs whose half occurs again are carried on, whole.
+    Counting goes by a part of the digest alone; only runs whose part occurs again are carried on, whole.
     """
-    again = saved(spans.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "repeated-halves")
+    again = saved(spans.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "repeated-parts")
     spans = saved(spans.join(again, "h1"), "repeated-spans")
-    place = F.struct("doc_id", "place")
+    place = F.struct("doc_id", "version", "number")
     # written, so that the join may split a run with many places
     first = saved(spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first"), "first-spans")
     later = spans.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    at = F.col("place").bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int")
-    return later.groupBy("doc_id", F.shiftright("place", 32).alias("version")).agg(F.collect_set(at).alias("runs"))
+    return later.groupBy("doc_id", "version").agg(F.collect_set("number").alias("runs"))
 
 
 def remove_repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +162,7 @@ def remove_repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WO
     spans = saved(span_table(docs, run, least_words, id_col, text), "spans")
     gone = repeated(spans).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "runs")
     rows = _source(docs, id_col, text)
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.shiftright("version", 32) == F.col("_version")), "left").select("doc_id", "text", "runs")
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("doc_id", "text", "runs")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

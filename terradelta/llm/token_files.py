@@ -44,10 +44,12 @@ def _bin(pairs: np.ndarray) -> np.ndarray:
 
 def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different pairs, sorted, and how often each stands there."""
+    if not len(pairs):
+        return pairs, np.zeros(0, np.int64)
     s = np.sort(pairs)
     starts = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
     n = np.diff(starts, append=len(s))
-    end = len(starts) - (len(s) > 0 and s[-1] == NO_PAIR)
+    end = len(starts) - int(s[-1] == NO_PAIR)
     return s[starts[:end]], n[:end]
 
 

@@ -250,6 +250,12 @@ def test_re_pair(docs):
     assert max(uses.values(), default=0) < token_files.LEAST  # it went on to its end
 
 
+def test_re_pair_of_documents_that_become_one_symbol():
+    symbols, ends, rules, lengths = token_files.re_pair(np.tile(np.arange(8, dtype=np.uint32), 20), np.arange(8, 168, 8), 10)
+    assert len(symbols) == 20 and len(set(symbols.tolist())) == 1 and lengths.max() == 8 and len(rules) == 7
+    assert len(token_files.re_pair(np.zeros(0, np.uint32), np.zeros(0, np.int64), 10)[0]) == 0
+
+
 def test_re_pair_shortens(spark):
     """Measured on the tables: symbols and rules take less than 0.6 of the plain ids."""
     shards = spark.read.parquet(token_files.write_shards(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), BYTE)).collect()

@@ -1,7 +1,7 @@
 """Operator 6: token ids in binary shard files under Re-Pair grammars.
 
 A shard (one row of a Parquet file in the shared folder) holds consecutive documents in ascending order of their ids.
-Its grammar is made by rounds: all pairs of neighbouring symbols are counted, those at least a quarter as frequent as the most frequent
+Its grammar is made by rounds: all pairs of neighbouring symbols are counted, those at least an eighth as frequent as the most frequent
 one get nonterminals, and their occurrences are replaced, the more frequent pair first where two overlap. Rounds go on
 until no pair is left whose rule would be shorter than what it saves (LEAST). No pair crosses a document's
 end, so that each document is a range of symbols. Stored are the rules, each nonterminal's expansion length, the symbols,
@@ -29,133 +29,111 @@ END = 0
 SHARD_IDS = 2_000_000
 #: Uses from which a rule pays: it takes 12 bytes (two symbols and a length), and a use saves a symbol of 4.
 LEAST = 4
-#: A round replaces the pairs that are at least one STEP-th as frequent as the most frequent one.
-STEP = 4
-#: Stands for the place at a document's end in tables of pairs.
-NO_PAIR = np.uint64(2**64 - 1)
-FLAGS = 20
+#: A level of rounds takes the pairs at least one STEP-th as frequent as the most frequent one, and ends when a round
+#: shortens the shard by less than one SLOW-th; what it leaves is taken in the next level.
+STEP, SLOW = 8, 100
+#: Stands for the number of a pair that is not counted yet.
+OPEN = np.uint32(2**32 - 1)
 
 SHARD = "shard long, first_id {0}, n_tokens long, doc_ids array<{0}>, doc_tokens binary, doc_ends binary, base int, rules binary, lengths binary, width int, symbols binary"
 
 
-def _bin(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FLAGS)).astype(np.int64)
-
-
-def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different pairs, sorted, and how often each stands there."""
-    if not len(pairs):
-        return pairs, np.zeros(0, np.int64)
-    s = np.sort(pairs)
-    starts = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
-    n = np.diff(starts, append=len(s))
-    end = len(starts) - int(s[-1] == NO_PAIR)
-    return s[starts[:end]], n[:end]
-
-
-def _places(active: np.ndarray, pairs: np.ndarray, often: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the frequent pairs stand, which pair stands there, and whether it is replaced there: of places that touch,
-    a more frequent pair's goes first, and of equally frequent ones every other from the left."""
-    flag = np.zeros(1 << FLAGS, bool)
-    flag[_bin(often)] = True
-    i = np.flatnonzero(flag[_bin(pairs)])
-    which = np.minimum(np.searchsorted(often, pairs[i]), len(often) - 1)
-    right = often[which] == pairs[i]
-    at, which = active[i[right]], which[right]
-    touch = np.diff(at) == 1
-    begin = np.ones(len(at), bool)
-    begin[1:] = ~touch | (count[which[1:]] > count[which[:-1]])
-    b = np.flatnonzero(begin)
-    chosen = (np.arange(len(at)) - np.repeat(b, np.diff(b, append=len(at)))) % 2 == 0
-    chosen[:-1] &= ~(begin[1:] & touch)
-    return at, which, chosen
+def _grouped(seq: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs at some places in ascending order: different pairs (left symbol in the upper 32 bits), how often each
+    stands there, and the places pair by pair."""
+    s, p = max(top - 1, 1).bit_length(), len(seq).bit_length()
+    left, right = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
+    if 2 * s + p <= 64:  # places are sorted along in the lowest bits
+        key = left
+        key <<= np.uint64(s)
+        key |= right
+        key <<= np.uint64(p)
+        key |= at.view(np.uint64)
+        key.sort()
+        places = (key & np.uint64((1 << p) - 1)).view(np.int64)
+        key >>= np.uint64(p)
+    else:
+        key = (left << np.uint64(s)) | right
+        order = np.argsort(key, kind="stable")
+        places, key = at[order], key[order]
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(0, np.int64)
+    pairs = key[starts]
+    return ((pairs >> np.uint64(s)) << np.uint64(32)) | (pairs & np.uint64((1 << s) - 1)), np.diff(starts, append=len(key)).astype(np.uint32), places
 
 
 #: Ways to look for pairs that do not overlap each other, once those left do so everywhere.
 TRIES = 18
 
 
-def _some(often: np.ndarray, attempt: int) -> np.ndarray:
-    """Which pairs are tried: all; those of one symbol; those that lead from one random half of the symbols to the other,
-    so that none can overlap; one alone."""
-    left, right = often >> np.uint64(32), often & np.uint64(0xFFFFFFFF)
-    if attempt == 0:
-        return np.ones(len(often), bool)
+def _some(pairs: np.ndarray, attempt: int, often: np.ndarray) -> np.ndarray:
+    """Which pairs are tried after all at once: those of one symbol; those that lead from one random half of the symbols
+    to the other, so that none can overlap; one frequent one alone."""
+    left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
     if attempt == 1:
         return left == right
     if attempt < TRIES:
         side = lambda x: ((x + np.uint64(attempt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
         return side(left) < side(right)
-    alone = np.zeros(len(often), bool)
-    alone[np.flatnonzero(left != right)[:1]] = True
+    alone = np.zeros(len(pairs), bool)
+    alone[np.flatnonzero(often & (left != right))[:1]] = True
     return alone
 
 
 def re_pair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, ends of documents in them, rules (pairs) and expansion lengths. ``ends``: one past each last id."""
     seq = ids.astype(np.uint32)
-    last = ends.astype(np.int64) - 1
+    # for each place, how often its pair stood there when it was counted; that only falls. 0: the end of a document
+    bound = np.full(len(seq), OPEN)
+    bound[ends - 1] = 0
     rules, lengths, top = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32), base
     limit, attempt = 0, 0
-    active = None  # places that may hold a pair of the limit; None: all
-    while len(seq) > 1:
-        if active is None:
-            pairs = seq[:-1].astype(np.uint64) << np.uint64(32)
-            pairs |= seq[1:]
-            pairs[last[last < len(pairs)]] = NO_PAIR
-            at = np.arange(len(pairs))
-        else:
-            at = active
-            pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        known, n = _counted(pairs)
-        most = int(n.max(initial=0))
-        if active is None:
-            limit = max(LEAST, -(-most // STEP))
-        often, n = known[n >= limit], n[n >= limit]
-        some = _some(often, attempt)
-        chosen = np.zeros(0, bool)
-        if some.any():
-            at, which, chosen = _places(at, pairs, often[some], n[some])
-            pays = np.bincount(which[chosen], minlength=int(some.sum())) >= LEAST
-            chosen &= pays[which]
-        if not chosen.any():
-            if limit > LEAST:
-                limit, active = (LEAST, np.arange(len(seq) - 1)[_inner(seq, last)]) if active is None else (0, None)
-            elif not len(often) or attempt == TRIES:
+    while True:
+        active = np.flatnonzero(bound >= max(limit, 1))
+        pairs, n, places = _grouped(seq, active, top)
+        group = np.empty(len(seq), np.int32)
+        group[places] = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        which = group[active]
+        bound[active] = n[which]
+        if not limit:
+            limit = max(LEAST, -(-int(n.max(initial=0)) // STEP))
+        often = n >= limit
+        tried = often & _some(pairs, attempt, often) if attempt else often
+        here = np.flatnonzero(tried[which])
+        at, which = active[here], which[here]
+        # of places that touch, a more frequent pair's goes first, and of equally frequent ones every other from the left
+        touch, count = np.diff(at) == 1, n[which]
+        begin = np.ones(len(at), bool)
+        begin[1:] = ~touch | (count[1:] > count[:-1])
+        b = np.flatnonzero(begin)
+        chosen = (np.arange(len(at)) - np.repeat(b, np.diff(b, append=len(at)))) % 2 == 0
+        chosen[:-1] &= ~(begin[1:] & touch)
+        pays = np.bincount(which[chosen], minlength=len(n)) >= LEAST
+        chosen &= pays[which]
+        at, which = at[chosen], which[chosen]
+        if len(at):
+            attempt = 0
+            number = np.cumsum(pays) - 1
+            left, right = (pairs[pays] >> np.uint64(32)).astype(np.uint32), pairs[pays].astype(np.uint32)
+            size = lambda s: np.where(s < base, 1, np.append(lengths, 0)[np.maximum(s.astype(np.int64) - base, 0)])  # noqa: E731, B023
+            lengths = np.concatenate([lengths, (size(left) + size(right)).astype(np.uint32)])
+            rules.append(np.stack([left, right], axis=1))
+            slow = len(at) * SLOW < len(seq)
+            seq[at] = (top + number[which]).astype(np.uint32)
+            top += len(left)
+            before = at[at > 0] - 1
+            bound[before[bound[before] > 0]] = OPEN
+            bound[at] = np.where(bound[at + 1] > 0, OPEN, 0)
+            keep = np.ones(len(seq), bool)
+            keep[at + 1] = False
+            seq, bound = np.compress(keep, seq), np.compress(keep, bound)
+        elif limit == LEAST:
+            # what overlaps itself is settled by the first attempt, so that other pairs must be left
+            if not (often if not attempt else often & (pairs >> np.uint64(32) != pairs & np.uint64(0xFFFFFFFF))).any() or attempt == TRIES:
                 break
-            else:
-                attempt += 1
-            continue
-        made, number = often[some][pays], np.cumsum(pays) - 1
-        left, right = (made >> np.uint64(32)).astype(np.uint32), made.astype(np.uint32)
-        here = at[chosen]
-        seq[here] = (top + number[which[chosen]]).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[here + 1] = False
-        moved = np.cumsum(keep) - 1
-        if attempt:
-            attempt, active = 0, None
-        else:  # a pair as frequent as the limit has a new symbol, or stood at a place that was not replaced
-            rest, new = at[~chosen], moved[here]
-            active = np.concatenate([moved[rest[keep[rest]]], new, new[new > 0] - 1])
-        last, seq = moved[last], seq[keep]
-        if active is not None:
-            mark = np.zeros(len(seq), bool)
-            mark[active] = True
-            mark[last] = False
-            active = np.flatnonzero(mark)
-        size = lambda s: np.where(s < base, 1, np.append(lengths, 0)[np.maximum(s.astype(np.int64) - base, 0)])  # noqa: E731, B023
-        lengths = np.concatenate([lengths, (size(left) + size(right)).astype(np.uint32)])
-        rules.append(np.stack([left, right], axis=1))
-        top += len(made)
-    return seq, last + 1, np.concatenate(rules), lengths
-
-
-def _inner(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Places that are not a document's end, without the last place."""
-    out = np.ones(len(seq), bool)
-    out[last] = False
-    return out[:-1]
+            attempt += 1
+        if limit > LEAST and (not len(at) or slow):
+            limit = max(LEAST, -(-int(bound[bound < limit].max(initial=0)) // STEP))
+    return seq, np.flatnonzero(bound == 0) + 1, np.concatenate(rules), lengths
 
 
 def expansions(base: int, rules: np.ndarray) -> list[bytes]:
@@ -211,6 +189,15 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     return path
 
 
+def decoded(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for, as little-endian 32-bit numbers in a row."""
+    pool = np.concatenate([np.arange(base, dtype="<u4"), np.frombuffer(b"".join(expansions(base, rules)[base:]), "<u4")])
+    sizes = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])
+    starts, n = (np.cumsum(sizes) - sizes)[symbols], sizes[symbols]
+    ends = np.cumsum(n)
+    return pool[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``start`` (ids of all documents before it), ``ids`` (32-bit, little-endian)."""
     kind = shards.schema["first_id"].dataType.simpleString()
@@ -218,15 +205,17 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                symbols = np.frombuffer(row["symbols"], f"<u{row['width']}")
-                stands = expansions(row["base"], np.frombuffer(row["rules"], "<u4").reshape(-1, 2))
-                ends = np.frombuffer(row["doc_ends"], "<u8").astype(np.int64)
+                symbols, ends = np.frombuffer(row["symbols"], f"<u{row['width']}"), np.frombuffer(row["doc_ends"], "<u8").astype(np.int64)
+                flat = decoded(row["base"], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4"), symbols)
                 sizes = np.frombuffer(row["doc_tokens"], "<u4").astype(np.int64)
                 before = np.cumsum(sizes) - sizes
-                ids = [b"".join([stands[s] for s in symbols[a:b].tolist()]) for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
+                if len(flat) != sizes.sum() or (len(ends) and ends[-1] != len(symbols)):
+                    raise ValueError(f"shard {row['shard']} is damaged")
+                raw = flat.tobytes()
+                ids = [raw[4 * a : 4 * b] for a, b in zip(before.tolist(), (before + sizes).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(ids), pa.int64()), pa.array(row["doc_ids"], batch.schema.field("first_id").type), pa.array(before), pa.array(ids, pa.binary())], ["shard", "doc_id", "within", "ids"])
 
-    inner = shards.select("shard", "first_id", "doc_ids", "doc_tokens", "doc_ends", "base", "rules", "width", "symbols").mapInArrow(run, f"shard long, doc_id {kind}, within long, ids binary")
+    inner = shards.select("shard", "first_id", "doc_ids", "doc_tokens", "doc_ends", "base", "rules", "lengths", "width", "symbols").mapInArrow(run, f"shard long, doc_id {kind}, within long, ids binary")
     return _started(shards, inner)
 
 

@@ -26,7 +26,7 @@ from .tokens import encoder, in_groups
 
 END = 0
 #: Ids in a shard, about. A longer document is a shard alone.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 #: Uses from which a rule pays: it takes 12 bytes (two symbols and a length), and a use saves a symbol of 4.
 LEAST = 4
 #: A level of rounds takes the pairs at least one STEP-th as frequent as the most frequent one, and ends when a round

@@ -10,13 +10,15 @@ other white space, with runs of it or with a special token's string go to the li
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
-from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split  # noqa: E402
+from tokenizers.pre_tokenizers import Split  # noqa: E402
 
 from .common import held  # noqa: E402
 
@@ -30,9 +32,12 @@ LONG = 1 << 19
 #: Marks a word without a space before it.
 BARE = "\x01"
 #: New words in one text for the library.
-JOINED = 200
-#: Marks that end words; each run of them behind letters is a pre-token.
-MARKS = ".,;:!?)"
+JOINED = 100
+#: Words of letters and marks behind them: two pre-tokens at most. Only letters that all versions of Unicode have alike.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?)]*)")
+#: Byte-level files write bytes as characters: those that print stand for themselves, the others are numbered from 256 on.
+PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(b if b in PRINTS else 256 + sum(x not in PRINTS for x in range(b))) for b in range(256)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -158,13 +163,14 @@ class ByteLevelEncoder:
         # what stands outside the rule above
         self.odd = ["  ", " \n", "\n ", "\n\n", BARE, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), *specials]
         self.plain = self.tk.normalizer is None and len(self.newline) == 4
-        # Letters alone are one pre-token, so words of letters need no pattern: they go to the same model cut at newlines.
-        # That is exact if no token has a newline beside a letter.
+        # Letters alone are one pre-token, so words of letters need no pattern: written as the model's characters they go
+        # to it cut at newlines. That is exact if no token has a newline behind something else.
         self.letters = None
-        if not any("Ċ" in t and any(c.isalpha() for c in t.replace("Ċ", "")) for t in self.tk.get_vocab()):
+        kind = json.loads(self.tk.to_str())["pre_tokenizer"] or {}
+        if kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not any("Ċ" in t.lstrip("Ċ") for t in self.tk.get_vocab()):
             self.letters = _single_thread(Tokenizer.from_file(path))
             self.letters.model._resize_cache(0)  # words come here once
-            self.letters.pre_tokenizer = Sequence([Split("\n", "merged_with_previous"), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.letters.pre_tokenizer = Split("Ċ", "merged_with_previous")
         self.hashes = _Hash(1), _Hash(2)
         self.known = self._fresh()
 
@@ -194,6 +200,8 @@ class ByteLevelEncoder:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lines = [f"{x[1:]}\n" if x[0] == BARE else f" {x}\n" for x in words]
         parts = ["".join(lines[i : i + JOINED]) for i in range(0, len(lines), JOINED)]
+        if tk is self.letters:
+            parts = [x.encode().decode("latin-1").translate(BYTE_CHARS) for x in parts]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in tk.encode_batch_fast(parts, add_special_tokens=False)])
         is_end = ids == np.frombuffer(self.newline, "<u4")[0]
         ends = np.flatnonzero(is_end)
@@ -205,17 +213,15 @@ class ByteLevelEncoder:
         """Ids of words in a row, and their numbers."""
         simple, marked, cores, marks, other = [], [], [], [], []
         for i, x in enumerate(new):
-            bare = x[1:] if x[0] == BARE else x
-            if self.letters is not None and bare.isalpha():
+            m = PLAIN.fullmatch(x, x[0] == BARE) if self.letters is not None else None
+            if m is None:
+                other.append(i)
+            elif not m[2]:
                 simple.append(i)
-                continue
-            core = bare.rstrip(MARKS)
-            if self.letters is not None and core != bare and core.isalpha():  # letters, then marks: two pre-tokens, each by itself
-                marked.append(i)
-                cores.append(x[: len(x) - len(bare) + len(core)])
-                marks.append(BARE + bare[len(core) :])
             else:
-                other.append(i)
+                marked.append(i)
+                cores.append(x[: m.end(1)])
+                marks.append(BARE + m[2])
         kinds = {m: k for k, m in enumerate(sorted(set(marks)))}
         ids, sizes = self._encode(self.letters or self.tk, [new[i] for i in simple] + cores)
         more, more_sizes = self._encode(self.tk, [*kinds, *(new[i] for i in other)])

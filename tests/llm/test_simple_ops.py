@@ -150,6 +150,15 @@ def test_encoder_is_the_library(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in enc(many)] == [tk.encode(t, add_special_tokens=False).ids for t in many]
 
 
+def test_encoder_of_each_letter():
+    """All letters of plain words, and others around them, beside letters, marks and digits."""
+    enc = tokens.ByteLevelEncoder(BYTE)
+    assert enc.letters is not None
+    letters = [chr(c) for c in range(0x41, 0x3000) if chr(c).isalpha() or c < 0x250]
+    many = [f"{c}a b{c} a{c}b{c}{c}. {c}! ({c}) {c}'s {c}1 x{c}, {c}.{c}" for c in letters]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc(many)] == [_bytes().encode(t, add_special_tokens=False).ids for t in many]
+
+
 def thue_morse(n):
     s = "a"
     while len(s) < n:

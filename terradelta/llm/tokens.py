@@ -2,10 +2,10 @@
 
 A byte-level BPE file without normaliser cuts a text before each single space and around each single newline whatever
 stands beside them, so the ids of a text are its words' ids in a row. A worker remembers the ids of the words it has met
-in flat arrays and gives the library only the new ones, many in one call. A batch's words are looked up all at once by
-two polynomial hashes of their bytes, taken from running sums over the batch, and the bytes of each word that is found
-are compared with the remembered ones; a word whose hashes are another word's goes to the library by itself. Texts with
-other white space, with runs of it or with a special token's string go to the library whole.
+and gives the library only the new ones, many in one call. A batch's words are looked up all at once in flat arrays: up
+to SHORT bytes, a word is its length, its first eight and its last eight bytes, which are compared as two numbers;
+longer words lie in a dictionary. Texts with other white space, with runs of it or with a special token's string go to
+the library whole.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from .common import held  # noqa: E402
 #: Words remembered in a worker (half of its table's slots); beyond it, the memory starts anew.
 SLOT_BITS = 21
 REMEMBERED = 1 << (SLOT_BITS - 1)
-#: Bytes of remembered words, at which it starts anew too.
+#: Bytes of remembered long words, at which it starts anew too.
 REMEMBERED_BYTES = 32 << 20
+#: Bytes that two numbers of eight hold.
+SHORT = 16
 #: Texts longer than this many characters are worked on in blocks that end before a space.
 LONG = 1 << 19
 #: Marks a word without a space before it.
@@ -51,32 +53,6 @@ def _single_thread(tk: Tokenizer) -> Tokenizer:
     return tk
 
 
-class _Hash:
-    """A polynomial hash modulo 2**64 of any ranges of a buffer: differences of running sums, moved to the same power."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.of_byte = rng.integers(1, 2**64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(1, 2**62)) * 4 + 3
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def __call__(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(buffer)
-        if len(self.up) < n:
-            size = max(n, 1 << 20)
-            self.up = np.multiply.accumulate(np.full(size, self.base, np.uint64))
-            self.down = np.multiply.accumulate(np.full(size + 1, pow(self.base, -1, 1 << 64), np.uint64))
-        sums = np.zeros(n + 1, np.uint64)
-        parts = self.of_byte[buffer]
-        parts *= self.up[:n]
-        np.cumsum(parts, out=sums[1:])
-        out = (sums[ends] - sums[starts]) * self.down[starts]
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        return out
-
-
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one range behind the other."""
     ends = np.cumsum(sizes)
@@ -98,59 +74,99 @@ class _Pool:
         return at
 
 
+class _Batch:
+    """The words between a buffer's spaces: where they are, and the two numbers that short ones are."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        padded = np.zeros(len(raw) + 16, np.uint8)
+        padded[8 : 8 + len(raw)] = np.frombuffer(raw, np.uint8)
+        spaces = np.flatnonzero(padded[8 : 8 + len(raw)] == 32)
+        self.starts, self.ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(raw))
+        self.sizes = self.ends - self.starts
+        eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        self.first = eight[self.starts + 8] & _MASKS[np.minimum(self.sizes, 8)]
+        self.last = eight[self.ends] & _MASKS[np.where(self.sizes < 8, 0, 8)]
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.raw[self.starts[i] : self.ends[i]]
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class _Words:
-    """From words to their ids: open addressing in arrays by two hashes; ids and bytes of words lie in pools."""
+    """From words to their ids, which lie in a pool: open addressing in arrays for short words, a dictionary for others."""
 
     def __init__(self):
         size = 1 << SLOT_BITS
-        self.a, self.b = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.at, self.n = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
-        self.bytes_at, self.bytes_n = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
-        self.pool, self.bytes, self.words = _Pool("<u4"), _Pool("u1"), 0
-
-    def _slots(self, a: np.ndarray) -> np.ndarray:
-        return ((a * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The slot that has each word's hashes, -1 for unknown ones."""
-        out, left, slot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._slots(a)
+        self.first, self.last, self.size = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.uint8)
+        self.entry = np.zeros(size, np.uint32)
+        self.long: dict[bytes, int] = {}
+        self.long_bytes, self.words = 0, 0
+        self.pool, self.at, self.n = _Pool("<u4"), _Pool("u4"), _Pool("u4")
+
+    def full(self) -> bool:
+        return self.words > REMEMBERED or self.long_bytes > REMEMBERED_BYTES
+
+    def find(self, batch: _Batch, which: np.ndarray) -> np.ndarray:
+        """The entry of each of the batch's words of these numbers, -1 for unknown ones."""
+        out, sizes = np.full(len(which), -1, np.int64), batch.sizes[which]
+        left = np.flatnonzero(sizes <= SHORT)
+        first, last, size = batch.first[which[left]], batch.last[which[left]], sizes[left].astype(np.uint8) + np.uint8(1)
+        slot = _slot(_mixed(first, last, size))
         while len(left):
-            there = self.a[slot]
-            hit = (there == a[left]) & (self.b[slot] == b[left])
-            out[left[hit]] = slot[hit]
-            on = ~hit & (there != 0)
-            left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+            there = self.size[slot]
+            hit = (self.first[slot] == first) & (self.last[slot] == last) & (there == size)
+            out[left[hit]] = self.entry[slot[hit]]
+            on = np.flatnonzero(~hit & (there != 0))
+            left, slot, first, last, size = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1), first[on], last[on], size[on]
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = self.long.get(batch[which[i]], -1)
         return out
 
-    def others(self, slots: np.ndarray, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Numbers of the words whose bytes are not those remembered in their slots."""
-        sizes, theirs = ends - starts, self.bytes_n[slots].astype(np.int64)
-        wrong = sizes != theirs
-        same = np.flatnonzero(~wrong & (sizes > 0))
-        if len(same):
-            n = sizes[same]
-            differ = self.bytes.data[_ranges(self.bytes_at[slots[same]].astype(np.int64), n)] != buffer[_ranges(starts[same], n)]
-            if differ.any():
-                wrong[same] |= np.logical_or.reduceat(differ, np.cumsum(n) - n)
-        return np.flatnonzero(wrong)
-
-    def add(self, a: np.ndarray, b: np.ndarray, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Words of different, unknown hashes; ``ids`` has theirs in a row, ``sizes`` their numbers."""
+    def different(self, batch: _Batch, which: np.ndarray) -> np.ndarray:
+        """Some of these words, none twice: all long ones, and one short one for each hash."""
+        short = which[batch.sizes[which] <= SHORT]
+        _, one = np.unique(_mixed(batch.first[short], batch.last[short], batch.sizes[short].astype(np.uint8) + np.uint8(1)), return_index=True)
+        long = {batch[i]: i for i in which[batch.sizes[which] > SHORT].tolist()}
+        return np.sort(np.concatenate([short[one], np.array(list(long.values()), np.int64)]))
+
+    def add(self, batch: _Batch, which: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Different, unknown words; ``ids`` has theirs in a row, ``sizes`` their numbers."""
         at = self.pool.add(ids) + np.cumsum(sizes) - sizes
-        lengths = np.array([len(x) for x in words], np.int64)
-        bytes_at = self.bytes.add(np.frombuffer(b"".join(words), np.uint8)) + np.cumsum(lengths) - lengths
-        left, slot = np.arange(len(a)), self._slots(a)
+        entry = self.at.add(at) + np.arange(len(which))
+        self.n.add(sizes)
+        self.words += len(which)
+        for i in np.flatnonzero(batch.sizes[which] > SHORT).tolist():
+            word = batch[which[i]]
+            self.long[word] = int(entry[i])
+            self.long_bytes += len(word)
+        left = np.flatnonzero(batch.sizes[which] <= SHORT)
+        first, last, size = batch.first[which], batch.last[which], batch.sizes[which].astype(np.uint8) + np.uint8(1)
+        slot = _slot(_mixed(first[left], last[left], size[left]))
         while len(left):
-            free = np.flatnonzero(self.a[slot] == 0)
-            where, first = np.unique(slot[free], return_index=True)
-            won = free[first]
+            free = np.flatnonzero(self.size[slot] == 0)
+            where, one = np.unique(slot[free], return_index=True)
+            won = free[one]
             i = left[won]
-            self.a[where], self.b[where], self.at[where], self.n[where] = a[i], b[i], at[i], sizes[i]
-            self.bytes_at[where], self.bytes_n[where] = bytes_at[i], lengths[i]
+            self.first[where], self.last[where], self.size[where], self.entry[where] = first[i], last[i], size[i], entry[i]
             on = np.ones(len(left), bool)
             on[won] = False
             left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
-        self.words += len(a)
+
+
+def _mixed(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of short words."""
+    h = (first ^ size) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h = (h ^ last) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    """Where their search begins in the table."""
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class ByteLevelEncoder:
@@ -171,26 +187,15 @@ class ByteLevelEncoder:
             self.letters = _single_thread(Tokenizer.from_file(path))
             self.letters.model._resize_cache(0)  # words come here once
             self.letters.pre_tokenizer = Split("Ċ", "merged_with_previous")
-        self.hashes = _Hash(1), _Hash(2)
         self.known = self._fresh()
 
     def _fresh(self) -> _Words:
         out = _Words()
         special = {"": self._whole(" "), "\n": self.newline, BARE: b""}
-        words = [x.encode() for x in special]
-        a, b, *_ = self._hashed(b" ".join(words))
         ids = [np.frombuffer(x, "<u4") for x in special.values()]
-        out.add(a, b, words, np.array([len(x) for x in ids]), np.concatenate(ids))
+        out.add(_Batch(" ".join(special).encode()), np.arange(3), np.array([len(x) for x in ids]), np.concatenate(ids))
         return out
 
-    def _hashed(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two hashes of each word between spaces (the first is never 0), where it starts and ends, and the bytes."""
-        buffer = np.frombuffer(raw, np.uint8)
-        spaces = np.flatnonzero(buffer == 32)
-        starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(buffer))
-        a, b = (h(buffer, starts, ends) for h in self.hashes)
-        return a | np.uint64(1), b, starts, ends, buffer
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -255,31 +260,20 @@ class ByteLevelEncoder:
     def _joined(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        if self.known.words > REMEMBERED or self.known.bytes.used > REMEMBERED_BYTES:
+        if self.known.full():
             self.known = self._fresh()
         cut = [f"{BARE}{t}".replace("\n", f" \n {BARE}").encode() for t in texts]
-        raw, known = b" ".join(cut), self.known
-        a, b, starts, ends, buffer = self._hashed(raw)
-        word = lambda which: [raw[s:e] for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-        slots = known.find(a, b)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            _, first = np.unique(np.stack([a[new], b[new]], axis=1).view("V16").ravel(), return_index=True)
-            first = np.sort(new[first])
-            words = word(first)
-            ids, sizes = self._ids([x.decode() for x in words])
-            known.add(a[first], b[first], words, sizes, ids)
-            slots[new] = known.find(a[new], b[new])
-        at, n = known.at[slots].astype(np.int64), known.n[slots].astype(np.int64)
-        pool = known.pool.data
-        others = known.others(slots, buffer, starts, ends)
-        if len(others):  # their hashes are another word's
-            ids, sizes = self._ids([x.decode() for x in word(others)])
-            at[others], n[others] = known.pool.used + np.cumsum(sizes) - sizes, sizes
-            pool = np.concatenate([pool[: known.pool.used], ids])
-        ids = pool[_ranges(at, n)]
+        batch, known = _Batch(b" ".join(cut)), self.known
+        entries = known.find(batch, np.arange(len(batch.starts)))
+        while len(new := np.flatnonzero(entries < 0)):  # again for words whose hash is another's
+            some = known.different(batch, new)
+            ids, sizes = self._ids([batch[i].decode() for i in some.tolist()])
+            known.add(batch, some, sizes, ids)
+            entries[new] = known.find(batch, new)
+        n = known.n.data[entries].astype(np.int64)
+        ids = known.pool.data[_ranges(known.at.data[entries].astype(np.int64), n)]
         text_ends = np.cumsum([len(x) + 1 for x in cut]) - 1
-        last = np.searchsorted(starts, text_ends, side="right")  # words up to each text's end
+        last = np.searchsorted(batch.starts, text_ends, side="right")  # words up to each text's end
         edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], last])].tolist()
         return [ids[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
 

@@ -1,11 +1,16 @@
 """Operator 7: packing documents into few sequences by bin completion.
 
 Lengths are whole numbers up to the capacity, so all that packing needs to know of any corpus is a histogram of at most
-``capacity`` entries. The search works on it: it takes the longest length left, enumerates undominated fillings of the
-room beside it, follows those with least waste first and bounds branches by the waste that a better packing may still
-have; a best-fit packing is the first incumbent. A filling is used as often as the histogram allows at once, so that
-the search is as long for 100 TB as for 1 MB. Pieces are then dealt to the packing's places by their rank among pieces
-of their length.
+``capacity`` entries. The first packing is best fit, longest first. Where it needs more sequences than the lower bound
+(of Martello and Toth), branch and bound by bin completion follows (Korf, 2002): it takes the longest length left,
+enumerates undominated fillings of the room beside it, least waste first and longest pieces first, and leaves a branch
+whose waste is more than a better packing may have. Paths are walked by their number of departures from the first choice
+(limited discrepancy), as departures near the start matter most. A filling is used as often as the histogram allows at
+once, or, as a departure, once, so that a path is about as long for 100 TB as for 1 MB.
+
+The search ends with a proof (the bound is met, or all is tried) or after STEPS fillings, which take some 20 seconds of
+the driver; ``lower_bound`` tells how far from proven the packing then is. Pieces are dealt to the packing's places by
+their rank among pieces of their length.
 
 Defined results: a null or empty text is its end id alone; each row is a document, also if its id repeats; an empty
 table gives no rows; other columns are not read.
@@ -14,9 +19,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
-from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -27,64 +30,113 @@ from .common import saved, small, texts
 from .tokens import encoder, in_groups
 
 CAPACITY, END = 2048, 0
-#: Fillings looked at for a longest document, and steps of the whole search after its first packing, at most.
-FILLINGS, STEPS, BRANCHES = 150, 1500, 3
-#: Choices that one line of the search leaves open; further ones are settled by least waste.
-OPEN = 150
+#: Fillings that the whole search uses at most.
+STEPS = 50_000
+#: States of small searches that are remembered, so that none is searched twice.
+STATES = 200_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
-def fillings(left: list[int], count: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, Filling]]:
-    """(waste, filling) of a room, least waste first. ``left``: lengths in descending order.
+def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences that any packing needs: the best of Martello and Toth's bounds over all splits into long, middle and
+    short lengths."""
+    sizes = sorted(s for s, n in counts.items() if n)
+    least = -(-sum(s * n for s, n in counts.items()) // capacity)
+    for k in [0, *(s for s in sizes if 2 * s <= capacity)]:
+        long = sum(counts[s] for s in sizes if s > capacity - k)
+        middle = [s for s in sizes if capacity - k >= s and 2 * s > capacity]
+        room = sum((capacity - s) * counts[s] for s in middle)
+        short = sum(s * counts[s] for s in sizes if k <= s and 2 * s <= capacity)
+        least = max(least, long + sum(counts[s] for s in middle) + max(0, -(-(short - room) // capacity)))
+    return least
+
+
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
+    """Best fit, longest first: each piece goes where least room is left of what it fits in. Equal sequences go together."""
+    by_room: dict[int, dict[Filling, int]] = {capacity: {}}
+    for s in sorted((s for s, n in counts.items() if n), reverse=True):
+        left = counts[s]
+        while left:
+            room = min((r for r, some in by_room.items() if r >= s and some), default=None)
+            some = by_room[capacity if room is None else room]
+            filling, times = next(iter(some.items())) if some else ((), left)  # a new sequence
+            room = capacity if room is None else room
+            # a sequence that the next copy fits in too is the tightest again
+            k = min(room // s, left)
+            take = min(times, left // k)
+            if some:
+                some[filling] -= take
+                if not some[filling]:
+                    del some[filling]
+            into = by_room.setdefault(room - k * s, {})
+            made = (*filling, (s, k))
+            into[made] = into.get(made, 0) + take
+            left -= k * take
+    return [x for some in by_room.values() for x in some.items()]
+
+
+def _sums(count: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """For each place in ``sizes``, which totals up to ``room`` the lengths from there on can have, as bits."""
+    mask, out = (1 << (room + 1)) - 1, [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        s, bits = sizes[i], out[i + 1]
+        n, step = min(count[sizes[i]], room // sizes[i]), 1
+        while n > 0:
+            k = min(step, n)
+            bits |= (bits << (k * s)) & mask
+            n, step = n - k, 2 * step
+        out[i] = bits
+    return out
+
+
+def fillings(sizes: list[int], count: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of a room: least waste first, then longest pieces first, without dominated ones.
 
-    A filling is dominated if one longer piece could take the place of one of its pieces in the room that is left, so
-    each list is closed only when nothing that remains fits.
+    A filling is dominated if a free piece could take the place of some of its pieces that are not longer together: these
+    could then lie where that piece would.
     """
-    out: list[tuple[int, Filling]] = []
-    steps = [0]
-
-    def add(at: int, room: int, chosen: Filling) -> bool:
-        steps[0] += 1
-        any_fits = False
-        for i in range(max(at, bisect_left(left, -room, key=neg)), len(left)):
-            s = left[i]
-            any_fits = True
-            for k in range(min(count[s], room // s), 0, -1):
-                if add(i + 1, room - k * s, (*chosen, (s, k))) or steps[0] > most:
-                    return True
-        if not any_fits:
-            out.append((room, chosen))
-            return room == 0
-        return False
-
-    add(0, room, ())
-    undominated = []
-    for waste, chosen in sorted(out, key=lambda x: (x[0], [-s for s, _ in x[1]])):
-        # a longer length that is free and fits where one of the chosen stands dominates
-        if waste and any(count.get(s + d, 0) > dict(chosen).get(s + d, 0) for s, _ in chosen for d in range(1, waste + 1)):
+    sizes = [s for s in sizes if s <= room and count[s]]
+    sums = _sums(count, sizes, room)
+
+    def exact(i: int, target: int, chosen: Filling) -> Iterator[Filling]:
+        if not target:
+            yield chosen
+            return
+        while i < len(sizes) and (sizes[i] > target or not sums[i + 1] >> target & 1):
+            # without this length the target cannot be reached: take it, as often as can be first
+            if sizes[i] <= target and sums[i] >> target & 1:
+                break
+            i += 1
+        if i == len(sizes) or not sums[i] >> target & 1:
+            return
+        s = sizes[i]
+        for k in range(min(count[s], target // s), -1, -1):
+            if sums[i + 1] >> (target - k * s) & 1:
+                yield from exact(i + 1, target - k * s, (*chosen, (s, k)) if k else chosen)
+
+    for waste in range(min(room, most_waste) + 1):
+        if sums[0] >> (room - waste) & 1:
+            for chosen in exact(0, room - waste, ()):
+                if not _dominated(sizes, count, chosen, waste):
+                    yield waste, chosen
+
+
+def _dominated(sizes: list[int], count: dict[int, int], chosen: Filling, waste: int) -> bool:
+    have = dict(chosen)
+    for z in sizes:
+        if count[z] <= have.get(z, 0):
             continue
-        undominated.append((waste, chosen))
-    return undominated or sorted(out)[:1]
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Best fit, longest first, in runs: the incumbent that the search starts from."""
-    left, out = dict(counts), []
-    sizes = sorted(left, reverse=True)
-    for s in sizes:
-        while left[s]:
-            room, chosen, times = capacity - s, {s: 1}, left[s]
-            for x in sizes:
-                have = left[x] - (x == s)
-                if x <= room and have > 0 and (k := min(room // x, have)):
-                    chosen[x] = chosen.get(x, 0) + k
-                    room -= k * x
-            times = min(left[x] // k for x, k in chosen.items())
-            for x, k in chosen.items():
-                left[x] -= k * times
-            out.append((tuple(sorted(chosen.items(), reverse=True)), times))
-    return out
+        # totals of several pieces, or of one that is not such a piece itself
+        others = [(s, k) for s, k in chosen if s != z and s <= z]
+        bits = 1
+        for s, k in others:
+            for _ in range(min(k, z // s)):
+                bits |= bits << s
+        low = max(z - waste, 1)
+        if (bits >> low) & ((1 << (z - low + 1)) - 1):
+            return True
+    return False
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[Filling, int]]:
@@ -93,75 +145,88 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("a piece is empty or longer than a sequence")
     best = best_fit(counts, capacity)
+    least, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
     bins = lambda p: sum(n for _, n in p)
-    total = sum(s * n for s, n in counts.items())
-    least = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
-    left, done, complete = [steps], [], [0]
-
-    def search(count: dict[int, int], sizes: list[int], used: int, wasted: int, level: int) -> bool:
-        """True: the bound is met, or no steps are left."""
-        nonlocal best
-        depth = 0
-        while True:
-            while sizes and not count[sizes[0]]:
-                sizes = sizes[1:]
-            if not sizes:
-                complete[0] = 1
-                if used < bins(best):
-                    best = list(done)
-                found = bins(best) <= least
-                break
-            left[0] -= complete[0]
-            if left[0] < 0:
-                found = True
-                break
-            s = sizes[0]
-            count[s] -= 1
-            tried = fillings([x for x in sizes if count[x]], count, capacity - s)[:BRANCHES]
-            count[s] += 1
-            # waste that a packing better than the best may have
-            allowed = (bins(best) - 1) * capacity - total
-            moves = []
-            for waste, chosen in tried:
+    departures = 0
+    while bins(best) > least and steps > 0:
+        found, steps, whole = _walk(counts, capacity, bins(best), least, total, departures, steps)
+        if found:
+            best = found
+        elif whole:  # all was tried
+            break
+        else:
+            departures += 1
+    return best
+
+
+def _walk(counts: dict[int, int], capacity: int, better_than: int, least: int, total: int, departures: int, steps: int) -> tuple[list[tuple[Filling, int]] | None, int, bool]:
+    """The first packing of fewer sequences on a path of at most so many departures, the steps left, and whether no path
+    was left out."""
+    allowed = (better_than - 1) * capacity - total  # waste
+    all_sizes = sorted(counts, reverse=True)
+    seen: dict[tuple, int] = {}
+
+    class Node:
+        """What is left to pack, and the choices at it."""
+
+        def __init__(self, count: dict[int, int], at: int, waste: int, departures: int):
+            while at < len(all_sizes) and not count[all_sizes[at]]:
+                at += 1
+            self.count, self.at, self.waste, self.departures = count, at, waste, departures
+            self.moves = self.choices() if at < len(all_sizes) else iter(())
+
+        def choices(self) -> Iterator[tuple[int, dict[int, int], int, int]]:
+            """(waste, filling, how often, departures) of a sequence that begins with the longest length left."""
+            nonlocal left_out
+            s = all_sizes[self.at]
+            beside = self.count | {s: self.count[s] - 1}
+            rank = 0
+            for waste, chosen in fillings(all_sizes[self.at :], beside, capacity - s, allowed - self.waste):
                 whole = dict(chosen)
                 whole[s] = whole.get(s, 0) + 1
-                times = min(count[x] // k for x, k in whole.items())
-                # with waste, the last use is left open
-                if wasted + waste * times > allowed:
-                    times = (allowed - wasted) // waste if waste and allowed >= wasted else 0
-                if times > 0:
-                    moves.append((waste, whole, times))
-            if not moves:
-                found = False
-                break
-            if len(moves) > 1 and moves[0][0] > 0 and level < OPEN:
-                # a choice with waste: branch
-                found = False
-                for waste, whole, times in moves:
-                    for x, k in whole.items():
-                        count[x] -= k * times
-                    done.append((tuple(sorted(whole.items(), reverse=True)), times))
-                    found = search(count, sizes, used + times, wasted + waste * times, level + 1)
-                    done.pop()
-                    for x, k in whole.items():
-                        count[x] += k * times
-                    if found:
-                        break
-                break
-            waste, whole, times = moves[0]
-            for x, k in whole.items():
-                count[x] -= k * times
-            done.append((tuple(sorted(whole.items(), reverse=True)), times))
-            depth += 1
-            used, wasted = used + times, wasted + waste * times
-        for _ in range(depth):
-            whole, times = done.pop()
-            for x, k in whole:
-                count[x] += k * times
-        return found
-
-    search(dict(counts), sorted(counts, reverse=True), 0, 0, 0)
-    return best
+                times = min(self.count[x] // k for x, k in whole.items())
+                if waste:
+                    times = min(times, (allowed - self.waste) // waste)
+                for often, cost in ((times, rank), (1, rank + 1))[: 1 + (times > 1)]:
+                    if cost <= self.departures:
+                        yield waste, whole, often, self.departures - cost
+                    else:
+                        left_out = True
+                if len(chosen) == 1 and chosen[0][1] == 1 and not waste:
+                    return  # one piece that fills the room dominates all else
+                rank += 1
+                if rank > self.departures:
+                    left_out = True
+                    return
+
+    left_out = False
+    path: list[tuple[Node, Filling, int]] = []
+    node = Node(dict(counts), 0, 0, departures)
+    while True:
+        if node.at == len(all_sizes):
+            return [(filling, times) for _, filling, times in path], steps, False
+        move = next(node.moves, None)
+        if move is None:
+            if not path:
+                return None, steps, not left_out
+            node = path.pop()[0]
+            continue
+        if steps <= 0:
+            return None, 0, False
+        steps -= 1
+        waste, whole, times, still = move
+        count = dict(node.count)
+        for x, k in whole.items():
+            count[x] -= k * times
+        path.append((node, tuple(sorted(whole.items(), reverse=True)), times))
+        node = Node(count, node.at, node.waste + waste * times, still)
+        if len(all_sizes) <= 64:
+            # the same pieces left with no less waste and no more departures: nothing new
+            state = tuple(count.values())
+            if seen.get((state, still), allowed + 1) <= node.waste:
+                node = path.pop()[0]
+            elif len(seen) < STATES:
+                seen[state, still] = node.waste
 
 
 def places(packing: list[tuple[Filling, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -225,12 +290,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = places(pack(histogram, capacity))
     seats = spark.createDataFrame(plan or [(0,) * 6], "_size long, _from long, _to long, _times long, _sequence long, _offset long")
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    first = by_block.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    first = by_block.select("length", "_block", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    # the places that a block's ranks meet: few, as both are ranges in a row
+    meets = (F.col("length") == F.col("_size")) & (F.col("_from") < F.col("_first") + F.col("_n")) & (F.col("_to") > F.col("_first"))
+    first = first.join(small(seats, len(plan)), meets).drop("_n", "_size")
     within = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32", "start"))
     ranked = dealt.withColumn("_row", within).join(first, ["length", "_block"]).withColumn("_rank", F.col("_first") + F.col("_row") - 1)
     r = F.col("_rank") - F.col("_from")
     return (
-        ranked.join(small(seats, len(plan)), (F.col("length") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+        ranked.filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
         .withColumn("sequence_id", F.col("_sequence") + F.pmod(r, F.col("_times")))
         .withColumn("offset", F.col("_offset") + F.floor(r / F.col("_times")) * F.col("length"))
         .select(*pieces.columns, "sequence_id", "offset")

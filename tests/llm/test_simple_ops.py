@@ -292,8 +292,27 @@ def fewest(sizes, capacity):
     return best[0]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=9))
+def best_fit_rooms(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= s]
+        if fits:
+            rooms[min(fits)[1]] -= s
+        else:
+            rooms.append(capacity - s)
+    return sorted(rooms)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(8, 40).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=40))))
+def test_best_fit_is_best_fit(case):
+    capacity, sizes = case
+    made = packing.best_fit({s: sizes.count(s) for s in sizes}, capacity)
+    assert sorted(capacity - sum(s * k for s, k in whole) for whole, times in made for _ in range(times)) == best_fit_rooms(sizes, capacity)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.lists(st.integers(1, 20), max_size=10), st.lists(st.integers(4, 12), max_size=12)))
 def test_pack_is_optimal_when_small(sizes):
     counts = {s: sizes.count(s) for s in sizes}
     packing_ = packing.pack(counts, 20)
@@ -303,8 +322,16 @@ def test_pack_is_optimal_when_small(sizes):
         for s, k in whole:
             held[s] = held.get(s, 0) + k * times
     assert held == counts
-    assert sum(n for _, n in packing_) <= sum(n for _, n in packing.best_fit(counts, 20))
-    assert sum(n for _, n in packing_) <= fewest(sorted(sizes, reverse=True), 20) + 1
+    assert packing.lower_bound(counts, 20) <= sum(n for _, n in packing_) == fewest(sorted(sizes, reverse=True), 20)
+
+
+def test_pack_beats_best_fit():
+    """Sequences cut into three pieces each: best fit needs one more than there are, the search none."""
+    rng = np.random.default_rng(1)
+    cuts = np.sort(rng.integers(1, 2048, (1000, 2)), axis=1)
+    sizes = np.concatenate([cuts[:, 0], cuts[:, 1] - cuts[:, 0], 2048 - cuts[:, 1]])
+    counts = {int(s): int(n) for s, n in zip(*np.unique(sizes[sizes > 0], return_counts=True), strict=True)}
+    assert sum(n for _, n in packing.pack(counts)) == 1000 < sum(n for _, n in packing.best_fit(counts))
 
 
 def test_packing(spark):

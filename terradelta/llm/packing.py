@@ -8,7 +8,7 @@ whose waste is more than a better packing may have. Paths are walked by their nu
 (limited discrepancy), as departures near the start matter most. A filling is used as often as the histogram allows at
 once, or, as a departure, once, so that a path is about as long for 100 TB as for 1 MB.
 
-The search ends with a proof (the bound is met, or all is tried) or after STEPS fillings, which take some 20 seconds of
+The search ends with a proof (the bound is met, or all is tried) or after STEPS fillings, which take some 10 seconds of
 the driver; ``lower_bound`` tells how far from proven the packing then is. Pieces are dealt to the packing's places by
 their rank among pieces of their length.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from .tokens import encoder, in_groups
 
 CAPACITY, END = 2048, 0
 #: Fillings that the whole search uses at most.
-STEPS = 50_000
-#: States of small searches that are remembered, so that none is searched twice.
-STATES = 200_000
+STEPS = 20_000
+#: States that searches of at most so many lengths remember, so that none is searched twice.
+STATES, SMALL = 50_000, 64
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -163,70 +164,62 @@ def _walk(counts: dict[int, int], capacity: int, better_than: int, least: int, t
     """The first packing of fewer sequences on a path of at most so many departures, the steps left, and whether no path
     was left out."""
     allowed = (better_than - 1) * capacity - total  # waste
-    all_sizes = sorted(counts, reverse=True)
-    seen: dict[tuple, int] = {}
-
-    class Node:
-        """What is left to pack, and the choices at it."""
-
-        def __init__(self, count: dict[int, int], at: int, waste: int, departures: int):
-            while at < len(all_sizes) and not count[all_sizes[at]]:
-                at += 1
-            self.count, self.at, self.waste, self.departures = count, at, waste, departures
-            self.moves = self.choices() if at < len(all_sizes) else iter(())
-
-        def choices(self) -> Iterator[tuple[int, dict[int, int], int, int]]:
-            """(waste, filling, how often, departures) of a sequence that begins with the longest length left."""
-            nonlocal left_out
-            s = all_sizes[self.at]
-            beside = self.count | {s: self.count[s] - 1}
-            rank = 0
-            for waste, chosen in fillings(all_sizes[self.at :], beside, capacity - s, allowed - self.waste):
-                whole = dict(chosen)
-                whole[s] = whole.get(s, 0) + 1
-                times = min(self.count[x] // k for x, k in whole.items())
-                if waste:
-                    times = min(times, (allowed - self.waste) // waste)
-                for often, cost in ((times, rank), (1, rank + 1))[: 1 + (times > 1)]:
-                    if cost <= self.departures:
-                        yield waste, whole, often, self.departures - cost
-                    else:
-                        left_out = True
-                if len(chosen) == 1 and chosen[0][1] == 1 and not waste:
-                    return  # one piece that fills the room dominates all else
-                rank += 1
-                if rank > self.departures:
-                    left_out = True
-                    return
-
-    left_out = False
-    path: list[tuple[Node, Filling, int]] = []
-    node = Node(dict(counts), 0, 0, departures)
+    sizes = sorted(counts, reverse=True)
+    left, seen, left_out = dict(counts), {}, False
+
+    def choices(at: int, wasted: int, departures: int) -> Iterator[tuple[int, dict[int, int], int, int]]:
+        """(waste, filling, how often, departures left) of a sequence that begins with the longest length left."""
+        nonlocal left_out
+        s = sizes[at]
+        for rank, (waste, chosen) in enumerate(fillings(sizes[at:], left | {s: left[s] - 1}, capacity - s, allowed - wasted)):
+            if rank > departures:
+                left_out = True
+                return
+            whole = dict(chosen)
+            whole[s] = whole.get(s, 0) + 1
+            times = min(left[x] // k for x, k in whole.items())
+            if waste:
+                times = min(times, (allowed - wasted) // waste)
+            yield waste, whole, times, departures - rank
+            if times > 1 and rank < departures:
+                yield waste, whole, 1, departures - rank - 1
+            left_out |= times > 1 and rank == departures
+            if len(chosen) == 1 and chosen[0][1] == 1 and not waste:
+                return  # one piece that fills the room dominates all else
+
+    # where a path stands: the place of its longest length, its waste, its departures left and the choices tried there;
+    # choices are made anew when a path comes back, so that a long path holds no more than this
+    path: list[tuple[tuple[int, int, int, int], dict[int, int], int]] = []
+    at, wasted, tried = 0, 0, 0
     while True:
-        if node.at == len(all_sizes):
-            return [(filling, times) for _, filling, times in path], steps, False
-        move = next(node.moves, None)
-        if move is None:
-            if not path:
-                return None, steps, not left_out
-            node = path.pop()[0]
-            continue
-        if steps <= 0:
+        while at < len(sizes) and not left[sizes[at]]:
+            at += 1
+        if at == len(sizes):
+            return [(tuple(sorted(whole.items(), reverse=True)), times) for _, whole, times in path], steps, False
+        move = next(islice(choices(at, wasted, departures), tried, None), None)
+        if move is not None and steps <= 0:
             return None, 0, False
-        steps -= 1
-        waste, whole, times, still = move
-        count = dict(node.count)
-        for x, k in whole.items():
-            count[x] -= k * times
-        path.append((node, tuple(sorted(whole.items(), reverse=True)), times))
-        node = Node(count, node.at, node.waste + waste * times, still)
-        if len(all_sizes) <= 64:
+        if move is not None:
+            steps -= 1
+            waste, whole, times, still = move
+            for x, k in whole.items():
+                left[x] -= k * times
+            path.append(((at, wasted, departures, tried), whole, times))
+            wasted, departures, tried = wasted + waste * times, still, 0
+            if len(sizes) > SMALL:
+                continue
             # the same pieces left with no less waste and no more departures: nothing new
-            state = tuple(count.values())
-            if seen.get((state, still), allowed + 1) <= node.waste:
-                node = path.pop()[0]
-            elif len(seen) < STATES:
-                seen[state, still] = node.waste
+            state = (*left.values(), departures)
+            if seen.get(state, allowed + 1) > wasted:
+                if len(seen) < STATES:
+                    seen[state] = wasted
+                continue
+        elif not path:
+            return None, steps, not left_out
+        (at, wasted, departures, tried), whole, times = path.pop()
+        tried += 1
+        for x, k in whole.items():
+            left[x] += k * times
 
 
 def places(packing: list[tuple[Filling, int]]) -> list[tuple[int, int, int, int, int, int]]:

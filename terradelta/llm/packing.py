@@ -8,8 +8,8 @@ whose waste is more than a better packing may have. Paths are walked by their nu
 (limited discrepancy), as departures near the start matter most. A filling is used as often as the histogram allows at
 once, or, as a departure, once, so that a path is about as long for 100 TB as for 1 MB.
 
-The search ends with a proof (the bound is met, or all is tried) or after STEPS fillings, which take some 10 seconds of
-the driver; ``lower_bound`` tells how far from proven the packing then is. Pieces are dealt to the packing's places by
+The search ends with a proof (the bound is met, or all is tried) or after WORK units of work, which take some 10 seconds
+of the driver whatever the corpus; ``lower_bound`` tells how far from proven the packing then is. Pieces are dealt to the packing's places by
 their rank among pieces of their length.
 
 Defined results: a null or empty text is its end id alone; each row is a document, also if its id repeats; an empty
@@ -31,8 +31,10 @@ from .common import saved, small, texts
 from .tokens import encoder, in_groups
 
 CAPACITY, END = 2048, 0
-#: Fillings that the whole search uses at most.
-STEPS = 20_000
+#: Work of a whole search at most: a filling looked at is a unit, the preparations at a sequence one for each few lengths.
+WORK, UNIT = 400_000, 15
+#: Sequences of a path whose further choices are held; for those before, they are made anew when a path comes back.
+HELD = 40
 #: States that searches of at most so many lengths remember, so that none is searched twice.
 STATES, SMALL = 50_000, 64
 
@@ -91,26 +93,24 @@ def _sums(count: dict[int, int], sizes: list[int], room: int) -> list[int]:
     return out
 
 
-def fillings(sizes: list[int], count: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, Filling]]:
-    """(waste, filling) of a room: least waste first, then longest pieces first, without dominated ones.
+def fillings(sizes: list[int], count: dict[int, int], room: int, most_waste: int, work: list[int] | None = None) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of a room: least waste first, then longest pieces first, without dominated ones. ``work`` (units
+    left) is counted down, and none comes once it is used up.
 
     A filling is dominated if a free piece could take the place of some of its pieces that are not longer together: these
     could then lie where that piece would.
     """
+    work = [WORK] if work is None else work
     sizes = [s for s in sizes if s <= room and count[s]]
-    sums = _sums(count, sizes, room)
+    work[0] -= 1 + len(sizes) // UNIT
+    sums, free = _sums(count, sizes, room), sum(1 << s for s in sizes)
 
     def exact(i: int, target: int, chosen: Filling) -> Iterator[Filling]:
         if not target:
             yield chosen
             return
-        while i < len(sizes) and (sizes[i] > target or not sums[i + 1] >> target & 1):
-            # without this length the target cannot be reached: take it, as often as can be first
-            if sizes[i] <= target and sums[i] >> target & 1:
-                break
+        while sizes[i] > target or not sums[i] >> target & 1:
             i += 1
-        if i == len(sizes) or not sums[i] >> target & 1:
-            return
         s = sizes[i]
         for k in range(min(count[s], target // s), -1, -1):
             if sums[i + 1] >> (target - k * s) & 1:
@@ -119,38 +119,43 @@ def fillings(sizes: list[int], count: dict[int, int], room: int, most_waste: int
     for waste in range(min(room, most_waste) + 1):
         if sums[0] >> (room - waste) & 1:
             for chosen in exact(0, room - waste, ()):
-                if not _dominated(sizes, count, chosen, waste):
+                work[0] -= 1
+                if work[0] < 0:
+                    return
+                if not _dominated(count, free, chosen, waste):
                     yield waste, chosen
 
 
-def _dominated(sizes: list[int], count: dict[int, int], chosen: Filling, waste: int) -> bool:
-    have = dict(chosen)
-    for z in sizes:
-        if count[z] <= have.get(z, 0):
-            continue
-        # totals of several pieces, or of one that is not such a piece itself
-        others = [(s, k) for s, k in chosen if s != z and s <= z]
+def _dominated(count: dict[int, int], free: int, chosen: Filling, waste: int) -> bool:
+    def totals(pieces: Filling) -> int:
+        """Totals of some of the pieces, each raised by up to ``waste``, as bits."""
         bits = 1
-        for s, k in others:
-            for _ in range(min(k, z // s)):
+        for s, k in pieces:
+            for _ in range(k):
                 bits |= bits << s
-        low = max(z - waste, 1)
-        if (bits >> low) & ((1 << (z - low + 1)) - 1):
-            return True
-    return False
+        bits ^= 1
+        raised = 0
+        while raised < waste:
+            by = min(raised + 1, waste - raised)
+            bits |= bits << by
+            raised += by
+        return bits
+
+    if totals(chosen) & free & ~sum(1 << s for s, _ in chosen):
+        return True
+    # another piece of a length that the filling has
+    return any(count[z] > have and totals(tuple(x for x in chosen if x[0] != z)) >> z & 1 for z, have in chosen)
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[Filling, int]]:
+def pack(counts: dict[int, int], capacity: int = CAPACITY, work: int = WORK) -> list[tuple[Filling, int]]:
     """Fillings, each with the number of sequences that have it; they hold all pieces."""
     counts = {s: n for s, n in counts.items() if n}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("a piece is empty or longer than a sequence")
     best = best_fit(counts, capacity)
-    least, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
-    bins = lambda p: sum(n for _, n in p)
-    departures = 0
-    while bins(best) > least and steps > 0:
-        found, steps, whole = _walk(counts, capacity, bins(best), least, total, departures, steps)
+    least, left, departures = lower_bound(counts, capacity), [work], 0
+    while (used := sum(n for _, n in best)) > least and left[0] > 0:
+        found, whole = _walk(counts, capacity, used, departures, left)
         if found:
             best = found
         elif whole:  # all was tried
@@ -160,10 +165,9 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
     return best
 
 
-def _walk(counts: dict[int, int], capacity: int, better_than: int, least: int, total: int, departures: int, steps: int) -> tuple[list[tuple[Filling, int]] | None, int, bool]:
-    """The first packing of fewer sequences on a path of at most so many departures, the steps left, and whether no path
-    was left out."""
-    allowed = (better_than - 1) * capacity - total  # waste
+def _walk(counts: dict[int, int], capacity: int, better_than: int, departures: int, work: list[int]) -> tuple[list[tuple[Filling, int]] | None, bool]:
+    """The first packing of fewer sequences on a path of at most so many departures, and whether no path was left out."""
+    allowed = (better_than - 1) * capacity - sum(s * n for s, n in counts.items())  # waste
     sizes = sorted(counts, reverse=True)
     left, seen, left_out = dict(counts), {}, False
 
@@ -171,7 +175,7 @@ def _walk(counts: dict[int, int], capacity: int, better_than: int, least: int, t
         """(waste, filling, how often, departures left) of a sequence that begins with the longest length left."""
         nonlocal left_out
         s = sizes[at]
-        for rank, (waste, chosen) in enumerate(fillings(sizes[at:], left | {s: left[s] - 1}, capacity - s, allowed - wasted)):
+        for rank, (waste, chosen) in enumerate(fillings(sizes[at:], left | {s: left[s] - 1}, capacity - s, allowed - wasted, work)):
             if rank > departures:
                 left_out = True
                 return
@@ -187,20 +191,22 @@ def _walk(counts: dict[int, int], capacity: int, better_than: int, least: int, t
             if len(chosen) == 1 and chosen[0][1] == 1 and not waste:
                 return  # one piece that fills the room dominates all else
 
-    # where a path stands: the place of its longest length, its waste, its departures left and the choices tried there;
-    # choices are made anew when a path comes back, so that a long path holds no more than this
+    # where a path stands: the place of its longest length, its waste, its departures left, and the choices tried there
     path: list[tuple[tuple[int, int, int, int], dict[int, int], int]] = []
+    held: dict[int, Iterator] = {}
     at, wasted, tried = 0, 0, 0
     while True:
         while at < len(sizes) and not left[sizes[at]]:
             at += 1
         if at == len(sizes):
-            return [(tuple(sorted(whole.items(), reverse=True)), times) for _, whole, times in path], steps, False
-        move = next(islice(choices(at, wasted, departures), tried, None), None)
-        if move is not None and steps <= 0:
-            return None, 0, False
+            return [(tuple(sorted(whole.items(), reverse=True)), times) for _, whole, times in path], False
+        if (here := held.get(len(path))) is None:
+            here = held[len(path)] = islice(choices(at, wasted, departures), tried, None)
+            held.pop(len(path) - HELD, None)
+        move = next(here, None)
+        if work[0] < 0:
+            return None, False
         if move is not None:
-            steps -= 1
             waste, whole, times, still = move
             for x, k in whole.items():
                 left[x] -= k * times
@@ -215,7 +221,9 @@ def _walk(counts: dict[int, int], capacity: int, better_than: int, least: int, t
                     seen[state] = wasted
                 continue
         elif not path:
-            return None, steps, not left_out
+            return None, not left_out
+        else:
+            del held[len(path)]
         (at, wasted, departures, tried), whole, times = path.pop()
         tried += 1
         for x, k in whole.items():

@@ -84,8 +84,12 @@ def test_decontaminate_brute_force(spark):
     rng = np.random.default_rng(3)
     vocabulary = ["ab", "cd", "É", "x1", "of"]
     texts = [None, "", "...", *(" ".join(rng.choice(vocabulary, rng.integers(1, 60))) for _ in range(60))]
-    items = [("1", " ".join(rng.choice(vocabulary, 14))), ("10", "Ab, CD"), ("2", None), ("3", "!!"), ("10", "Ab, CD"), (None, "ab")]
+    texts += texts[-1:] * 3
+    items = [("1", " ".join(rng.choice(vocabulary, 14))), ("10", "Ab, CD"), ("2", None), ("3", "!!"), ("10", "Ab, CD"), (None, "ab x1 of"), ("7", "cd cd É of x1 x1 ab ab")]
     docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    assert len(decontaminate.benchmark_parts(bench, 1 << 20)) == 1
+    cut = [t.collect() for t in decontaminate.benchmark_parts(bench, 30)]
+    assert len(cut) > 2 and sorted(map(repr, sum(cut, []))) == sorted(map(repr, bench.filter("text is not null").distinct().collect()))
     for part_bytes in (1 << 20, 30):
         hits = by_id(decontaminate.find_hits(docs, bench, width=4, part_bytes=part_bytes))
         for i, t in enumerate(texts):
@@ -93,14 +97,14 @@ def test_decontaminate_brute_force(spark):
             hit, found = [False] * len(w), set()
             for item, text in items:
                 v = decontaminate.WORD.findall((text or "").lower())
-                if item is None or not v:
+                if not v:
                     continue
                 n = min(4, len(v))
                 for k in range(len(v) - n + 1):
                     for j in range(len(w) - n + 1):
                         if w[j : j + n] == v[k : k + n]:
                             hit[j : j + n] = [True] * n
-                            found.add(item)
+                            found |= {item} - {None}
             r = hits[i]
             assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), sum(hit), sorted(found))
             inside = " ".join((t or "")[s["start"] : s["end"]] for s in r["spans"])

@@ -22,11 +22,21 @@ def scenes_from_items(items: DataFrame) -> DataFrame:
         tile_id(F.col("id")).alias("tile_id"),
         F.coalesce("geometry", F.lit("{}")).alias("geometry"),
         F.transform_values("assets", lambda _, v: v["href"]).alias("assets"),
+        *geometry_box(F.col("geometry")),
     )
 
 
+def geometry_box(geometry: Column) -> list[Column]:
+    """``west``, ``south``, ``east``, ``north`` of a GeoJSON geometry of any kind: the least and greatest of all its
+    positions; null without any."""
+    position = r"\[\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*,\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+    x, y = (F.transform(F.regexp_extract_all(geometry, F.lit(position), F.lit(k)), lambda v: v.cast("double")) for k in (1, 2))
+    return [F.array_min(x).alias("west"), F.array_min(y).alias("south"), F.array_max(x).alias("east"), F.array_max(y).alias("north")]
+
+
 def search(scenes: DataFrame, start: str | Column, end: str | Column, max_cloud: float = MAX_CLOUD, bbox: tuple[float, ...] | None = None) -> DataFrame:
-    """Scenes from ``start`` to ``end`` (both included) with at most ``max_cloud`` percent of cloud, in the box if one is given.
+    """Scenes from ``start`` to ``end`` (both included) with at most ``max_cloud`` percent of cloud, and, if a box (west,
+    south, east, north) is given, those whose own box meets it; scenes without a place are in no box.
 
     Plain comparisons on columns, so that Parquet scans get them as pushed filters.
     """

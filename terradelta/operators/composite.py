@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.raster import as_float, is_clear, masked, ndbi, ndvi, ndwi
 from ..schema import MIN_SCENES
+from ..sources.scratch import small
 
 
 def mask_observations(obs: DataFrame, bands: list[str], scl: str = "scl") -> DataFrame:
@@ -16,19 +19,22 @@ def mask_observations(obs: DataFrame, bands: list[str], scl: str = "scl") -> Dat
 
 
 def median_composite(obs: DataFrame, bands: list[str], keys: list[str], min_scenes: int = MIN_SCENES, scene: str = "scene") -> DataFrame:
-    """Per group: exact median of each band's clear values, clear observations (of the last band by name), scenes of the
-    month and whether those suffice.
+    """Per group: exact median of each band's clear values, clear observations (of the last band by name), and the scenes
+    of its month (all keys but ``y`` and ``x``), whether or not they cover the pixel, and whether those suffice.
 
     A pixel-month has as many rows as scenes (some 15), so the median's buffer is small; groups are pixels, so that no
-    key is hot however large the area.
+    key is hot however large the area. Months are counted by themselves from two columns and joined by a counted
+    broadcast.
     """
+    months = [k for k in keys if k not in ("y", "x")]
     last = sorted(bands)[-1]
-    out = mask_observations(obs, bands).groupBy(*keys)
-    return out.agg(
-        *(F.median(b).cast("float").alias(b) for b in bands),
-        F.count(last).cast("int").alias("clear_obs_count"),
-        F.count_distinct(scene).alias("n_scenes"),
-    ).withColumn("reliable", F.col("n_scenes") >= min_scenes)
+    out = mask_observations(obs, bands).groupBy(*keys).agg(*(F.median(b).cast("float").alias(b) for b in bands), F.count(last).cast("int").alias("clear_obs_count"))
+    if not months:  # one month: one row
+        n = obs.agg(F.count_distinct(scene)).first()[0]
+        return out.withColumns({"n_scenes": F.lit(n).cast("long"), "reliable": F.lit(n >= min_scenes)})
+    headers = month_headers(obs, months, min_scenes, scene).withColumnsRenamed({k: f"_{k}" for k in months})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in months))
+    return out.join(small(headers, headers.count()), same).drop(*(f"_{k}" for k in months))
 
 
 def mean_composite(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.raster import z_score
@@ -45,6 +45,37 @@ def checkpoint_to_load(best: str | None, last: str | None, others: list[str]) ->
     raise RuntimeError("training left no checkpoint")
 
 
+def save_checkpoint(model: LogisticRegressionModel, folder: str, epoch: int, score: float, top: int = 3) -> list[str]:
+    """Writes the model as ``last`` and, if it is among the ``top`` of highest score so far, under its epoch and score;
+    the others go. Gives the names that stay."""
+    store, path = _store(folder)
+    name = f"change-epoch={epoch:03d}-score={score:.4f}"
+    scores = {n: float(n.rsplit("=", 1)[1]) for n in _names(store, path) if n.startswith("change-")} | {name: score}
+    kept = best_epoch(scores, "last", top)
+    for n in {name, "last"} & set(kept):
+        model.write().overwrite().save(f"{folder}/{n}")
+    for n in set(scores) - set(kept) - {name}:
+        store.delete(path.suffix(f"/{n}"), True)
+    return kept
+
+
+def load_checkpoint(folder: str) -> LogisticRegressionModel:
+    """The checkpoint of highest score, else the last one."""
+    names = _names(*_store(folder))
+    scored = sorted((n for n in names if n.startswith("change-")), key=lambda n: (-float(n.rsplit("=", 1)[1]), n))
+    return LogisticRegressionModel.load(f"{folder}/{checkpoint_to_load(scored[0] if scored else None, 'last' if 'last' in names else None, names)}")
+
+
+def _store(folder: str) -> tuple:
+    spark = SparkSession.getActiveSession()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _names(store, path) -> list[str]:
+    return [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+
+
 def training_splits(train: DataFrame, val: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All patches for both if there are none to train on."""
     return (every, every) if train.isEmpty() else (train, val)

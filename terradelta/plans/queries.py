@@ -34,10 +34,30 @@ def scene_search(spark, sf):
     return catalog.search(V.scenes(spark, sf), "2024-01-05", "2024-01-20", 50.0)
 
 
-@query("""SELECT event_id AS scene_id, coalesce(json_extract_string(props, '$.k')::DOUBLE, 0.0) AS cloud_cover, coalesce(json_extract_string(props, '$.uri'), event_id::VARCHAR) AS product_id FROM events""")
+_ITEM_SQL = """item AS (SELECT *, x - 180.0 AS west, y - 80.0 AS south, x - 180.0 + w AS east, y - 80.0 + 2.5 AS north
+ FROM (SELECT *, (event_id * 7 % 350)::DOUBLE AS x, (event_id * 11 % 150)::DOUBLE AS y, (1 + event_id % 5)::DOUBLE AS w, event_id % 9 = 0 AS nowhere FROM events))"""
+
+
+def _items(spark, sf) -> DataFrame:
+    """Events as catalogue items: their JSON renamed, and a polygon as their place, which every ninth lacks."""
+    e = V.table(spark, sf, "events")
+    number = lambda x: F.expr(x).cast("double")
+    w, s = number("event_id * 7 % 350") - 180, number("event_id * 11 % 150") - 80
+    properties = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("datetime"), F.get_json_object("props", "$.k").cast("double").alias("eo:cloud_cover"), F.get_json_object("props", "$.uri").alias("s2:product_uri")))
+    assets = F.create_map(F.lit("B02"), F.struct(F.concat(F.lit("s3://x/"), F.col("event_id").cast("string")).alias("href")))
+    return e.select(F.col("event_id").cast("string").alias("id"), properties.alias("properties"), F.when(F.expr("event_id % 9 <> 0"), R.geojson_polygon(w, s, w + number("1 + event_id % 5"), s + 2.5)).alias("geometry"), assets.alias("assets"))
+
+
+@query("""SELECT event_id::VARCHAR AS scene_id, ts AS datetime, coalesce(json_extract_string(props, '$.k')::DOUBLE, 0.0) AS cloud_cover, coalesce(json_extract_string(props, '$.uri'), event_id::VARCHAR) AS product_id, 's3://x/' || event_id AS href FROM events""")
 def scene_properties_json(spark, sf):
-    get = lambda p: F.get_json_object("props", p)
-    return V.table(spark, sf, "events").select(F.col("event_id").alias("scene_id"), F.coalesce(get("$.k").cast("double"), F.lit(0.0)).alias("cloud_cover"), F.coalesce(get("$.uri"), F.col("event_id").cast("string")).alias("product_id"))
+    return catalog.scenes_from_items(_items(spark, sf)).select("scene_id", "datetime", "cloud_cover", "product_id", F.element_at("assets", "B02").alias("href"))
+
+
+@query(f"""WITH {_ITEM_SQL} SELECT event_id::VARCHAR AS scene_id, west, south, east, north FROM item
+WHERE NOT nowhere AND ts >= '2024-01-05' AND ts <= '2024-01-20' AND coalesce(json_extract_string(props, '$.k')::DOUBLE, 0.0) <= 80 AND west <= 60 AND east >= -75 AND south <= 45 AND north >= -10""")
+def scene_search_box(spark, sf):
+    found = catalog.search(catalog.scenes_from_items(_items(spark, sf)), "2024-01-05", "2024-01-20", 80.0, (-75.0, -10.0, 60.0, 45.0))
+    return found.select("scene_id", "west", "south", "east", "north")
 
 
 _NAME = "'S2A_' || event_type || CASE WHEN event_id % 3 = 0 THEN '_T32VKM_' ELSE '_x_' END || event_id"
@@ -114,7 +134,8 @@ def aoi_geojson(spark, sf):
 
 _CLEAR = "scl NOT IN (3, 7, 8, 9, 10)"
 _MEDIANS = ", ".join(f"median(CASE WHEN {_CLEAR} THEN {b}::DOUBLE END)::FLOAT AS {b}" for b in V.BANDS)
-_COMPOSITE_SQL = f"""{V.OBS_SQL}, comp AS (SELECT year_month, y, x, {_MEDIANS}, count(CASE WHEN {_CLEAR} THEN 1 END)::INT AS clear_obs_count, count(DISTINCT scene) AS n_scenes, count(DISTINCT scene) >= 3 AS reliable FROM obs GROUP BY 1, 2, 3)"""
+_COMPOSITE_SQL = f"""{V.OBS_SQL}, comp AS (SELECT year_month, y, x, {_MEDIANS}, count(CASE WHEN {_CLEAR} THEN 1 END)::INT AS clear_obs_count, any_value(n_scenes) AS n_scenes, any_value(n_scenes >= 3) AS reliable
+ FROM obs JOIN (SELECT year_month, count(DISTINCT scene) AS n_scenes FROM obs GROUP BY 1) USING (year_month) GROUP BY 1, 2, 3)"""
 _ND = lambda a, b, n: f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a} + {b} <> 0 THEN ({a} - {b}) / ({a} + {b}) ELSE 0 END::FLOAT AS {n}"
 _NDS = {"NDVI": _ND("B08", "B04", "NDVI"), "NDBI": _ND("B11", "B08", "NDBI"), "NDWI": _ND("B03", "B08", "NDWI")}
 
@@ -155,10 +176,9 @@ def reliable_months(spark, sf):
     return composite.month_headers(V.observations(spark, sf), ["year_month"])
 
 
-@query(f"WITH {_COMPOSITE_SQL} SELECT y, x, round(avg(B08::DOUBLE), 4) AS B08, round(avg(B11::DOUBLE), 4) AS B11 FROM comp GROUP BY 1, 2")
+@query(f"WITH {_COMPOSITE_SQL} SELECT y, x, avg(B08::DOUBLE)::FLOAT AS B08, avg(B11::DOUBLE)::FLOAT AS B11 FROM comp GROUP BY 1, 2")
 def mean_composite(spark, sf):
-    rows = _composite(spark, sf)
-    return rows.groupBy("y", "x").agg(*(F.round(F.avg(F.col(b).cast("double")), 4).alias(b) for b in ("B08", "B11")))
+    return composite.mean_composite(_composite(spark, sf), ["B08", "B11"], ["y", "x"])
 
 
 def _one_index(name: str) -> None:
@@ -396,9 +416,18 @@ def building_overlap(spark, sf):
     return out.select("id", F.round("overlap_area", 4).alias("overlap_area"), F.round("overlap", 6).alias("overlap"))
 
 
-@query(f"WITH {V.BOX_SQL} SELECT c.id, CASE WHEN coalesce(sum(common), 0) / ((xmax - xmin) * (ymax - ymin)) >= 0.3 THEN 'new_building' ELSE 'new_paving' END AS change_type FROM change c LEFT JOIN (SELECT * FROM pair WHERE building_id % 10 = 0) p ON change_id = c.id GROUP BY c.id, xmin, xmax, ymin, ymax")
+# changes without area (every seventh) and without shape (every eleventh) among the others
+_ODD_SQL = """odd AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE xmin END AS xmin, ymin, CASE WHEN id % 7 = 0 THEN xmin ELSE xmax END AS xmax, ymax FROM change),
+shape AS (SELECT id, xmin, ymin, xmax, ymax, (xmax - xmin) * (ymax - ymin) AS area FROM odd),
+cover AS (SELECT s.id, sum(greatest(least(s.xmax, b.xmax) - greatest(s.xmin, b.xmin), 0) * greatest(least(s.ymax, b.ymax) - greatest(s.ymin, b.ymin), 0)) AS common
+ FROM shape s JOIN building b ON s.xmin < b.xmax AND b.xmin < s.xmax AND s.ymin < b.ymax AND b.ymin < s.ymax GROUP BY 1)"""
+
+
+@query(f"""WITH {V.BOX_SQL}, {_ODD_SQL} SELECT id, CASE WHEN area IS NULL OR area = 0 THEN 'other' WHEN coalesce(common, 0) / area >= 0.3 THEN 'new_building' ELSE 'new_paving' END AS change_type
+FROM shape LEFT JOIN cover USING (id)""")
 def change_type(spark, sf):
-    overlaps = spatial.building_overlap(V.changes(spark, sf), V.buildings(spark, sf).filter("id % 10 = 0"), "id", 50.0)
+    odd = V.changes(spark, sf).withColumn("xmax", F.when(F.col("id") % 7 == 0, F.col("xmin")).otherwise(F.col("xmax"))).withColumn("xmin", F.when(F.col("id") % 11 != 0, F.col("xmin")))
+    overlaps = spatial.building_overlap(odd, V.buildings(spark, sf), "id", 50.0)
     return spatial.change_type(overlaps).select("id", "change_type")
 
 

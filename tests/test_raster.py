@@ -43,7 +43,14 @@ def test_median_composite(spark):
     got = {r.x: r for r in composite.median_composite(df, ["B08"], ["y", "x"]).collect()}
     assert (got[0].B08, got[1].B08, got[2].B08) == (200.0, 150.0, None)
     assert [got[i].clear_obs_count for i in range(3)] == [3, 2, 0]
-    assert got[0].reliable and not got[2].reliable
+    assert all(r.reliable and r.n_scenes == 3 for r in got.values())  # the month's scenes, also where one does not reach
+
+
+def test_scenes_of_a_month_count_everywhere(spark):
+    rows = [(m, s, 0, x, 4, 1.0) for m, scenes in (("a", 3), ("b", 2), (None, 1)) for s in range(scenes) for x in range(4) if s == 0 or x == s]
+    df = spark.createDataFrame(rows, "year_month string, scene int, y int, x int, scl int, B08 double")
+    got = composite.median_composite(df, ["B08"], ["year_month", "y", "x"]).collect()
+    assert len(got) == 12 and {(r.year_month, r.n_scenes, r.reliable) for r in got} == {("a", 3, True), ("b", 2, False), (None, 1, False)}
 
 
 def test_labels(spark):

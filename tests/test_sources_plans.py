@@ -65,9 +65,9 @@ def test_change_type_cases(spark):
     change = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 40.0), (2, 200.0, 0.0, 300.0, 30.0), (3, 500.0, 0.0, 500.0, 9.0)], "id long, xmin double, ymin double, xmax double, ymax double")
     houses = spark.createDataFrame([(1, 0.0, 0.0, 37.5, 40.0), (2, 200.0, 0.0, 230.0, 30.0)], "id long, xmin double, ymin double, xmax double, ymax double")
     out = {r.id: r.change_type for r in spatial.change_type(spatial.building_overlap(change, houses, "id", 25.0)).collect()}
-    assert out == {1: "new_building", 2: "new_building", 3: "new_paving"}
-    assert {r.change_type for r in spatial.change_type(spatial.building_overlap(change, houses, "id", 25.0), 0.5).collect()} == {"new_paving"}
-    assert {r.change_type for r in spatial.change_type(spatial.building_overlap(change, houses.limit(0), "id", 25.0)).collect()} == {"new_paving"}
+    assert out == {1: "new_building", 2: "new_building", 3: "other"}
+    assert {r.change_type for r in spatial.change_type(spatial.building_overlap(change, houses, "id", 25.0), 0.5).collect()} == {"new_paving", "other"}
+    assert {r.change_type for r in spatial.change_type(spatial.building_overlap(change, houses.limit(0), "id", 25.0), any_buildings=False).collect()} == {"new_paving"}
 
 
 def observations(spark, months, size=16):

@@ -222,10 +222,9 @@ def write_geotiff(chunks: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = FileSystem.from_uri(folder)
         store.create_dir(base)
-        at = {n: i for i, n in enumerate(chunks.columns)}
         for batch in batches:
             rows = batch.drop_columns(["data"]).to_pylist()
-            for r, bands in zip(rows, batch.column(at["data"]), strict=True):
+            for r, bands in zip(rows, batch.column(batch.schema.get_field_index("data")), strict=True):
                 flat = bands.values.flatten().to_numpy(zero_copy_only=False).astype(np.float32)  # nulls: NaN
                 path = f"{base}/{r['raster']}.tif"
                 with store.open_output_stream(path) as out:

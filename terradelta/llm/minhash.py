@@ -167,7 +167,7 @@ def least_distance(a: list[Column], b: list[Column]) -> Column:
 
 
 #: A block of a star's nodes has about so many differing shingles and nodes at most; shingles are multiplied so many at once.
-BLOCK_SHINGLES, BLOCK_NODES, AT_ONCE = 300_000, 1000, 2048
+BLOCK_SHINGLES, BLOCK_NODES, AT_ONCE = 200_000, 400, 2048
 
 
 def links_in_stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

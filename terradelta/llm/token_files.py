@@ -220,8 +220,13 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def _started(shards: DataFrame, docs: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = shards.select("shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("_first"))
+    """Adds ``start``. A shard's number has its writer's partition above, and partitions are ranges of ids in order: so
+    their totals, which are few, are summed up in one task, and shards only within their partition."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = shards.select("shard", "n_tokens", F.shiftright("shard", 32).alias("_part"))
+    parts = rows.groupBy("_part").agg(F.sum("n_tokens").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before(Window.orderBy("_part"))), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("_part").orderBy("shard"))), F.lit(0))
+    first = rows.withColumn("_within", within).join(parts, "_part").select("shard", (F.col("_base") + F.col("_within")).alias("_first"))
     # the documents' ids stay where they are: the shards' starts go to them if they are counted to be few
     return docs.join(small(first, shards.count()), "shard").withColumn("start", F.col("_first") + F.col("within")).drop("_first", "within", "shard")
 

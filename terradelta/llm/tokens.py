@@ -181,12 +181,10 @@ class ByteLevelEncoder:
         self.plain = self.tk.normalizer is None and len(self.newline) == 4
         # Letters alone are one pre-token, so words of letters need no pattern: written as the model's characters they go
         # to it cut at newlines. That is exact if no token has a newline behind something else.
-        self.letters = None
+        self.letters, self.pattern = None, self.tk.pre_tokenizer
         kind = json.loads(self.tk.to_str())["pre_tokenizer"] or {}
         if kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not any("Ċ" in t.lstrip("Ċ") for t in self.tk.get_vocab()):
-            self.letters = _single_thread(Tokenizer.from_file(path))
-            self.letters.model._resize_cache(0)  # words come here once
-            self.letters.pre_tokenizer = Split("Ċ", "merged_with_previous")
+            self.letters = Split("Ċ", "merged_with_previous")
         self.known = self._fresh()
 
     def _fresh(self) -> _Words:
@@ -199,15 +197,19 @@ class ByteLevelEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, tk: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str], letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers: each word with its space, if it has one, and a newline behind it, many in one text."""
         if not words:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lines = [f"{x[1:]}\n" if x[0] == BARE else f" {x}\n" for x in words]
         parts = ["".join(lines[i : i + JOINED]) for i in range(0, len(lines), JOINED)]
-        if tk is self.letters:
+        if letters:
             parts = [x.encode().decode("latin-1").translate(BYTE_CHARS) for x in parts]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in tk.encode_batch_fast(parts, add_special_tokens=False)])
+            self.tk.pre_tokenizer = self.letters
+        try:
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tk.encode_batch_fast(parts, add_special_tokens=False)])
+        finally:
+            self.tk.pre_tokenizer = self.pattern
         is_end = ids == np.frombuffer(self.newline, "<u4")[0]
         ends = np.flatnonzero(is_end)
         if len(ends) != len(words):
@@ -228,8 +230,8 @@ class ByteLevelEncoder:
                 cores.append(x[: m.end(1)])
                 marks.append(BARE + m[2])
         kinds = {m: k for k, m in enumerate(sorted(set(marks)))}
-        ids, sizes = self._encode(self.letters or self.tk, [new[i] for i in simple] + cores)
-        more, more_sizes = self._encode(self.tk, [*kinds, *(new[i] for i in other)])
+        ids, sizes = self._encode([new[i] for i in simple] + cores, self.letters is not None)
+        more, more_sizes = self._encode([*kinds, *(new[i] for i in other)])
         # each word is up to two ranges of all these ids
         flat, n = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
         at = np.cumsum(n) - n
@@ -261,6 +263,7 @@ class ByteLevelEncoder:
         if not texts:
             return []
         if self.known.full():
+            self.known = None  # gone before the next one is made
             self.known = self._fresh()
         cut = [f"{BARE}{t}".replace("\n", f" \n {BARE}").encode() for t in texts]
         batch, known = _Batch(b" ".join(cut)), self.known

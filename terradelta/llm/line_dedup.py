@@ -196,6 +196,8 @@ def _entries(lines: DataFrame, plan, edits: int) -> DataFrame:
                     seen.add(k)
                     kept.append(s)
                     ids.append(k)
+            if len(seen) > SEEN:  # a line that comes again has its entries twice, and its pairs are made distinct later
+                seen.clear()
             if not kept:
                 continue
             keys, sizes = [], []

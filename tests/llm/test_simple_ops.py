@@ -73,6 +73,38 @@ def test_media_fingerprint_of_ends_and_short_texts(spark):
     assert all(got[i].n_pairs > 0 for i in range(len(texts)))
 
 
+def test_media_peaks_by_definition():
+    """Against Fourier sums written out, frame by frame over the mirrored samples."""
+    rng = np.random.default_rng(9)
+    for n in (192, 960):
+        x = rng.integers(32, 127, n, dtype=np.uint8)
+        bins, strong = media.peaks(x)
+        half = media.FRAME // 2
+        mirrored = lambda i, n=n: -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+        for f in range(n // media.HOP + 1):
+            frame = np.array([float(x[mirrored(f * media.HOP - half + j)]) for j in range(media.FRAME)])
+            frame = (frame - frame.mean()) * np.array([0.5 - 0.5 * np.cos(2 * np.pi * j / (media.FRAME - 1)) for j in range(media.FRAME)])
+            power = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FRAME))) ** 2 for k in range(half + 1)]
+            for b, (low, high) in enumerate(media.BANDS):
+                top = max(range(low, high), key=lambda k: power[k])
+                assert np.isclose(power[bins[f, b]], power[top], rtol=1e-4)
+                if abs(power[top] / np.mean(power) / media.STANDS_OUT - 1) > 1e-3:
+                    assert strong[f, b] == (power[top] > media.STANDS_OUT * np.mean(power))
+        assert len(bins) == n // media.HOP + 1
+
+
+def test_media_feature_sees_each_stretch():
+    """Other noise in any 64 bytes gives another fingerprint."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(32, 127, 192 * 6, dtype=np.uint8)
+    t, h = media.fingerprint(x)
+    for at in range(0, len(x), 64):
+        y = x.copy()
+        y[at : at + 64] = rng.integers(32, 127, 64, dtype=np.uint8)
+        t2, h2 = media.fingerprint(y)
+        assert not (np.array_equal(t, t2) and np.array_equal(h, h2)), at
+
+
 def test_media_null_file_and_clash(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, wav binary")
     assert media.read_wav(df).first().payload_bytes is None

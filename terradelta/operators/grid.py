@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.projection import project
 from ..functions.raster import at_least
+from ..sources.scratch import saved
 from .graph import components
 
 #: Rows and columns of the chunks that stencils and components work on.
@@ -38,8 +39,8 @@ def chunks_of(pixels: DataFrame, keys: list[str], value: str, height: int = CHUN
 
 def chunked(pixels: DataFrame, size: int, halo: int) -> DataFrame:
     """Deals pixels to chunks, with copies of those within ``halo`` of a neighbouring chunk (``own`` says which are not)."""
-    # no chunk lies before the first one, so no copies go there
-    near = lambda c: F.array_distinct(F.filter(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(c) + d) / size).cast("int")), lambda i: i >= 0))
+    # all chunks from the one ``halo`` before to the one ``halo`` behind; none lies before the first one
+    near = lambda c: F.sequence(F.greatest(F.floor((F.col(c) - halo) / size), F.lit(0)).cast("int"), F.floor((F.col(c) + halo) / size).cast("int"))
     rows = pixels.withColumn("chunk_row", F.explode(near("y"))).withColumn("chunk_col", F.explode(near("x")))
     return rows.withColumn("own", (F.floor(F.col("y") / size) == F.col("chunk_row")) & (F.floor(F.col("x") / size) == F.col("chunk_col")))
 
@@ -132,6 +133,7 @@ def connected_components(pixels: DataFrame, keys: list[str], width: int, value:
     labelled = base.groupBy(*keys, "chunk_row", "chunk_col").applyInPandas(run, schema)
     if height is not None and height <= size and width <= size:
         return labelled.withColumnRenamed("label", "component")
+    labelled = saved(labelled, "labels")  # read by both joins of edges and by the last one
     node = F.struct(*keys, "label")
     edge = labelled.filter((F.pmod("y", F.lit(size)).isin(0, size - 1)) | (F.pmod("x", F.lit(size)).isin(0, size - 1))).select(*keys, "y", "x", node.alias("n"))
     links = []

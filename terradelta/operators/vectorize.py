@@ -24,23 +24,38 @@ def change_polygons(members: DataFrame, keys: list[str], pixel_area: float, min_
     return out if "detection_period" in keys else out.withColumn("detection_period", F.lit(detection_period).cast("string"))
 
 
-def rings(cells: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings (x, y corners) around unit cells: outer ones one way round, holes the other.
+def boundary(members: DataFrame, keys: list[str]) -> DataFrame:
+    """The sides of a component's pixels that it does not share with itself: ``x``, ``y`` (the corner it begins or ends
+    at, the other lies to the right or, if ``down``, below) and ``way`` (1: from that corner, -1: to it).
 
-    Each cell gives its four sides as directed edges; those that two cells share cancel out; the rest are walked, at a
-    corner where two rings touch turning such that cells that only touch stay apart.
+    Each pixel has four sides walked around it; a side of two pixels is walked both ways, so its ways add up to 0. The
+    sums are made by corner, so that a large component is spread over all tasks and only its outline goes on.
     """
-    edges: set[tuple[tuple[int, int], tuple[int, int]]] = set()
+    side = lambda dx, dy, down, way: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(down).alias("down"), F.lit(way).alias("way"))
+    sides = F.explode(F.array(side(0, 0, False, 1), side(1, 0, True, 1), side(0, 1, False, -1), side(0, 0, True, -1))).alias("s")
+    every = members.select(*keys, "component", sides).select(*keys, "component", "s.*")
+    return every.groupBy(*keys, "component", "x", "y", "down").agg(F.sum("way").cast("int").alias("way")).filter("way <> 0")
+
+
+def cell_sides(cells: list[tuple[int, int]]) -> list[tuple[int, int, bool, int]]:
+    """``boundary`` of a few cells (y, x), as (x, y, down, way)."""
+    ways: dict[tuple[int, int, bool], int] = {}
     for y, x in cells:
-        corner = [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]
-        for a, b in zip(corner, corner[1:] + corner[:1], strict=True):
-            if (b, a) in edges:
-                edges.remove((b, a))
-            else:
-                edges.add((a, b))
+        for key, way in (((x, y, False), 1), ((x + 1, y, True), 1), ((x, y + 1, False), -1), ((x, y, True), -1)):
+            ways[key] = ways.get(key, 0) + way
+    return [(*k, w) for k, w in ways.items() if w]
+
+
+def rings(sides: list[tuple[int, int, bool, int]]) -> list[list[tuple[int, int]]]:
+    """Closed rings (x, y corners) of a boundary: outer ones one way round, holes the other. At a corner where two rings
+    touch the walk turns such that cells that only touch stay apart."""
     out_of: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for a, b in sorted(edges):
+    for x, y, down, way in sides:
+        ends = (x, y), (x, y + 1) if down else (x + 1, y)
+        a, b = ends if way > 0 else ends[::-1]
         out_of.setdefault(a, []).append(b)
+    for ways in out_of.values():
+        ways.sort()
     found = []
     while out_of:
         start = min(out_of)
@@ -73,14 +88,14 @@ def _area(ring: list[tuple[float, float]]) -> float:
 
 
 def polygon_rings(members: DataFrame, keys: list[str], header: dict) -> DataFrame:
-    """Per component ``rings``: lists of (easting, northing), the outer ring first. A task holds one component's pixels."""
+    """Per component ``rings``: lists of (easting, northing), the outer ring first. A task holds one component's outline."""
     schema = members.select(*keys, "component", F.array(F.array(F.array(F.lit(0.0)))).alias("rings")).schema
     x0, y0, dx, dy = (header[k] for k in ("x0", "y0", "res_x", "res_y"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        found = rings(list(zip(t["y"].tolist(), t["x"].tolist(), strict=True)))
+        found = rings(list(zip(t["x"].tolist(), t["y"].tolist(), t["down"].tolist(), t["way"].tolist(), strict=True)))
         out = t[[*keys, "component"]].head(1).copy()
         out["rings"] = [[[[x0 + x * dx, y0 + y * dy] for x, y in r] for r in found]]
         return out
 
-    return members.select(*keys, "component", "y", "x").groupBy(*keys, "component").applyInPandas(run, schema)
+    return boundary(members, keys).groupBy(*keys, "component").applyInPandas(run, schema)

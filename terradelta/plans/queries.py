@@ -384,6 +384,18 @@ def connected_components(spark, sf):
     return grid.connected_components(_mask(spark, sf), ["raster"], 8, height=8)
 
 
+@query(SQL["open_close"])
+def open_close_chunks(spark, sf):
+    """The same over chunks of three pixels a side, so that halos and edges of chunks count."""
+    return grid.morphology(_mask(spark, sf), ["raster"], size=3)
+
+
+@query(SQL["connected_components"])
+def connected_components_chunks(spark, sf):
+    """The same over chunks of three pixels a side, whose labels have to be united."""
+    return grid.connected_components(_mask(spark, sf), ["raster"], 8, size=3, height=8)
+
+
 _POLY_SQL = f"WITH RECURSIVE {_CLEAN}, {_comp_sql('m4')}, poly AS (SELECT raster, component, round(avg(prob), 5) AS confidence, count(*) AS n_pixels, count(*) * 100.0::DOUBLE AS area_m2, '2018-06/2021-06' AS detection_period FROM lab JOIN tile USING (raster, y, x) GROUP BY 1, 2 HAVING count(*) * 100.0 >= 200)"
 
 
@@ -442,12 +454,24 @@ def footprints_in_box(spark, sf):
     return spatial.footprints_in(V.buildings(spark, sf), 100.0, 50.0, 200.0, 150.0)
 
 
-@query()
+_GREEDY_SQL = f"""WITH RECURSIVE {V.BOX_SQL},
+near AS (SELECT change_id, list({{'t': building_id, 'iou': iou}} ORDER BY iou DESC, building_id) AS l, max(iou) AS m FROM (SELECT change_id, building_id, common / (ca + ba - common) AS iou FROM pair WHERE common > 0) GROUP BY 1),
+ordered AS (SELECT row_number() OVER (ORDER BY m DESC, change_id DESC) AS k, l FROM near),
+step AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken, 0::BIGINT AS tp, 0::DOUBLE AS total
+ UNION ALL SELECT k, CASE WHEN c.iou > 0.3 THEN list_append(taken, c.t) ELSE taken END, tp + CASE WHEN c.iou > 0.3 THEN 1 ELSE 0 END, total + CASE WHEN c.iou > 0.3 THEN c.iou ELSE 0 END
+ FROM (SELECT o.k, taken, tp, total, list_filter(l, lambda x: NOT list_contains(taken, x.t))[1] AS c FROM step JOIN ordered o ON o.k = step.k + 1)),
+n AS (SELECT (SELECT count(*) FROM change) AS p, (SELECT count(*) FROM building) AS g, tp, total FROM step ORDER BY k DESC LIMIT 1)
+SELECT 'all' AS area, round(tp / p, 6) AS polygon_precision, round(tp / g, 6) AS polygon_recall, round(CASE WHEN tp > 0 THEN 2.0 * tp / (p + g) ELSE 0 END, 6) AS polygon_f1,
+ round(CASE WHEN tp > 0 THEN total / tp ELSE 0 END, 6) AS mean_iou, p AS n_pred_polygons, g AS n_gt_polygons, 0.3::DOUBLE AS threshold FROM n"""
+
+
+@query(_GREEDY_SQL)
 def greedy_match_metrics(spark, sf):
-    """Greedy matching is sequential; it is tested against hand-made cases."""
+    """Greedy matching is sequential; so is its SQL, which walks the predictions by recursion."""
     pred, truth = (df.withColumn("area", F.lit("all")) for df in (V.changes(spark, sf), V.buildings(spark, sf)))
     pairs = spatial.iou_pairs(pred, truth, 50.0, ["area"])
-    return validate.polygon_metrics(validate.greedy_matches(pairs, ["area"], "a_id", "b_id"), pred, truth, ["area"])
+    out = validate.polygon_metrics(validate.greedy_matches(pairs, ["area"], "a_id", "b_id"), pred, truth, ["area"])
+    return out.withColumns({c: F.round(c, 6) for c in ("polygon_precision", "polygon_recall", "polygon_f1", "mean_iou")})
 
 
 # --- validation ---

@@ -13,10 +13,12 @@ BROADCAST_ROWS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """What the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests in one process) a temporary
-    folder is made, and used for the rest of the session."""
+    """What the cluster names in ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests) a
+    temporary folder is made, and used for the rest of the session."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("terradelta.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="terradelta-")
         spark.conf.set("terradelta.scratch.dir", base)
     return base.rstrip("/")

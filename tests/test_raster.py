@@ -149,9 +149,9 @@ def test_hole_is_filled_and_small_areas_go(spark):
 
 def test_rings_with_hole_and_touching_corners():
     ring = [(y, x) for y in range(3) for x in range(3) if (y, x) != (1, 1)]
-    found = vectorize.rings(ring)
+    found = vectorize.rings(vectorize.cell_sides(ring))
     assert [abs(vectorize._area(r)) for r in found] == [9, 1]
-    assert sorted(abs(vectorize._area(r)) for r in vectorize.rings([(0, 0), (1, 1)])) == [1, 1]
+    assert sorted(abs(vectorize._area(r)) for r in vectorize.rings(vectorize.cell_sides([(0, 0), (1, 1)]))) == [1, 1]
 
 
 def test_pixel_metrics(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.raster import at_least, f1, month_index, safe_ratio
@@ -83,10 +83,29 @@ def detection_latency(series: DataFrame, change_month: str, limit: float, keys:
     return out.withColumn("latency_months", month_index(F.col("detection_month")) - month_index(F.lit(change_month)))
 
 
+def four_decimals(x: Column) -> Column:
+    """``x`` as C prints it by ``%.4f``: the binary value itself is rounded, halves to even.
+
+    Java's formatter rounds the shortest decimal that stands for the value instead, and gives 0.6433 for 0.64325, whose
+    binary value is less. Which side of a middle (2k + 1) / 20000 a fraction lies on is found without error: its upper
+    and lower bits are multiplied each for themselves.
+    """
+    size = F.abs(x)
+    fraction = size - F.floor(size)
+    k = F.floor(fraction * 10000)
+    wide = fraction * 134217729.0  # 2 ** 27 + 1
+    upper = wide - (wide - fraction)
+    beyond = (upper * 20000 - (2 * k + 1)) + (fraction - upper) * 20000
+    units = k + F.when((beyond > 0) | ((beyond == 0) & (k % 2 == 1)), 1).otherwise(0)
+    whole = F.floor(size) + F.floor(units / 10000)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.lpad((units % 10000).cast("string"), 4, "0"))
+    return F.when(size < 2.0**53, text).otherwise(F.format_string("%.4f", x))
+
+
 def metrics_lines(metrics: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """Rows of a Markdown table: numbers with four decimals, counts as they are."""
     kinds = dict(metrics.dtypes)
-    cells = [F.col(name).cast("string"), *(F.format_string("%.4f", F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in columns)]
+    cells = [F.col(name).cast("string"), *(four_decimals(F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in columns)]
     return metrics.select(F.col(name), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 

@@ -191,6 +191,16 @@ def test_metrics_table(spark):
     assert len(validate.metrics_table(df.limit(0), "name", ["f1", "n"]).splitlines()) == 2
 
 
+def test_metrics_are_rounded_as_c_rounds_them(spark):
+    """0.64325 is less than its decimal, 0.03125 a true half; a formatter that rounds the shortest decimal gives 0.6433, 0.0313."""
+    values = [0.64325, 0.03125, 0.09375, 0.12345, 0.99995, 0.00005, 0.0, 1.0, 7.00015, 12345678.03125, -0.64325, -0.00001, 2.0**52 + 1]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "name long, f1 double")
+    got = {r.name: r.line for r in validate.metrics_lines(df, "name", ["f1"]).collect()}
+    assert [got[i] for i in range(len(values))] == [f"| {i} | {v:.4f} |" for i, v in enumerate(values)]
+    every = spark.range(0, 1000001, 50).withColumn("v", F.col("id") / 1000000.0).select("id", validate.four_decimals(F.col("v")).alias("s"))
+    assert [(r.id, r.s) for r in every.collect() if r.s != f"{r.id / 1e6:.4f}"] == []
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(c,) for c in ("bergen", "oslo", "dublin", "houston", "dublin")], "city string")
     assert [patches.in_split(df, s).count() for s in ("train", "val", "test", None)] == [2, 2, 1, 5]

@@ -445,8 +445,8 @@ def change_type(spark, sf):
 
 @query(f"WITH {V.BOX_SQL} SELECT change_id, building_id, round(common / (ca + ba - common), 6) AS iou FROM pair WHERE common > 0")
 def polygon_iou_pairs(spark, sf):
-    out = spatial.iou_pairs(V.changes(spark, sf), V.buildings(spark, sf), 50.0)
-    return out.select(F.col("a_id").alias("change_id"), F.col("b_id").alias("building_id"), F.round("iou", 6).alias("iou"))
+    out = spatial.iou_pairs(V.changes(spark, sf), V.buildings(spark, sf), 50.0, digits=6)
+    return out.select(F.col("a_id").alias("change_id"), F.col("b_id").alias("building_id"), "iou")
 
 
 @query(f"WITH {V.BOX_SQL} SELECT id, xmin, ymin, xmax, ymax FROM building WHERE xmin <= 200 AND xmax >= 100 AND ymin <= 150 AND ymax >= 50")

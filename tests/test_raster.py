@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terradelta.functions import projection
 from terradelta.functions import raster as R
-from terradelta.operators import catalog, composite, grid, patches, tiling, train, validate, vectorize
+from terradelta.operators import catalog, composite, grid, patches, spatial, tiling, train, validate, vectorize
 
 F32 = "cast({} as float)"
 
@@ -185,6 +185,38 @@ def test_greedy_matching(spark):
     assert (empty.polygon_f1, empty.mean_iou, empty.n_pred_polygons, empty.n_gt_polygons) == (0.0, 0.0, 4, 0)
 
 
+def boxes_with_copies(spark, n, n_boxes, seed):
+    """Ids in no order over few boxes; some ids have several boxes, some boxes no side, sizes are such that overlaps tie."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), "k", *map(float, (x, y, x + w, y + 2))) for i, (x, y, w) in zip(rng.permutation(n), rng.integers([0, 0, 1], [8, 5, 5], (n_boxes, 3))[rng.integers(0, n_boxes, n)], strict=True)]
+    rows += [(0, "k", 3.0, 1.0, 6.0, 3.0), (0, "k", 3.0, 1.0, 6.0, 3.0), (n, "k", None, 1.0, 6.0, 3.0), (n, "k", 4.0, 1.0, 4.0, 3.0)]
+    return rows, spark.createDataFrame(rows, "id long, k string, xmin double, ymin double, xmax double, ymax double")
+
+
+def all_pairs(preds, truths):
+    for p in preds:
+        for t in truths:
+            if None not in p + t:
+                common = max(min(p[4], t[4]) - max(p[2], t[2]), 0) * max(min(p[5], t[5]) - max(p[3], t[3]), 0)
+                if common > 0:
+                    yield p[0], t[0], common / ((p[4] - p[2]) * (p[5] - p[3]) + (t[4] - t[2]) * (t[5] - t[3]) - common)
+
+
+@pytest.mark.parametrize("class_rows", [1000, 2])
+def test_equal_boxes_are_compared_once(spark, monkeypatch, class_rows):
+    monkeypatch.setattr(spatial, "CLASS_ROWS", class_rows)
+    (preds, a), (truths, b) = boxes_with_copies(spark, 40, 6, 1), boxes_with_copies(spark, 60, 9, 2)
+    got = [(r.a_id, r.b_id, r.iou) for r in spatial.iou_pairs(a, b, 2.0, ["k"]).collect()]
+    assert sorted(got) == sorted(all_pairs(preds, truths))
+    assert spatial.iou_pairs(a, b, 2.0, ["k"]).columns == ["k", "a_id", "a_xmin", "a_ymin", "a_xmax", "a_ymax", "b_id", "b_xmin", "b_ymin", "b_xmax", "b_ymax", "common", "iou"]
+    classes = [spatial.box_classes(df, ["k"], p) for df, p in ((a, "a"), (b, "b"))]
+    if class_rows == 1000:
+        assert spatial.iou_classes(*classes, 2.0, ["k"]).count() <= 8 * 11 < len(got) / 4
+    else:
+        assert max(len(r.rows) for c in classes for r in c.collect()) < 20
+    assert spatial.iou_pairs(a.limit(0), b, 2.0, ["k"]).count() == 0
+
+
 def test_metrics_table(spark):
     df = spark.createDataFrame([("run", 0.5, 3)], "name string, f1 double, n long")
     assert validate.metrics_table(df, "name", ["f1", "n"]).splitlines()[-1] == "| run | 0.5000 | 3 |"

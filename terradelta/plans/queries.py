@@ -469,8 +469,9 @@ SELECT 'all' AS area, round(tp / p, 6) AS polygon_precision, round(tp / g, 6) AS
 def greedy_match_metrics(spark, sf):
     """Greedy matching is sequential; so is its SQL, which walks the predictions by recursion."""
     pred, truth = (df.withColumn("area", F.lit("all")) for df in (V.changes(spark, sf), V.buildings(spark, sf)))
-    pairs = spatial.iou_pairs(pred, truth, 50.0, ["area"])
-    out = validate.polygon_metrics(validate.greedy_matches(pairs, ["area"], "a_id", "b_id"), pred, truth, ["area"])
+    a, b = spatial.box_classes(pred, ["area"], "a"), spatial.box_classes(truth, ["area"], "b")
+    matches = validate.greedy_class_matches(spatial.iou_classes(a, b, 50.0, ["area"]), a, b, ["area"], "id")
+    out = validate.polygon_metrics(matches, pred, truth, ["area"])
     return out.withColumns({c: F.round(c, 6) for c in ("polygon_precision", "polygon_recall", "polygon_f1", "mean_iou")})
 
 

@@ -217,6 +217,25 @@ def test_equal_boxes_are_compared_once(spark, monkeypatch, class_rows):
     assert spatial.iou_pairs(a.limit(0), b, 2.0, ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 5])
+def test_greedy_matching_by_classes(spark, seed):
+    (preds, a), (truths, b) = boxes_with_copies(spark, 50, 7, seed), boxes_with_copies(spark, 40, 8, seed + 1)
+    by = {}
+    for p, t, iou in all_pairs(preds, truths):
+        by.setdefault(p, []).append((-iou, t))
+    want, taken = set(), set()
+    for p in sorted(by, key=lambda p: (-min(by[p])[0], p), reverse=True):
+        free = [x for x in sorted(by[p]) if x[1] not in taken]
+        if free and -free[0][0] > 0.3:
+            taken.add(free[0][1])
+            want.add((p, free[0][1], -free[0][0]))
+    classes = [spatial.box_classes(df, ["k"], p) for df, p in ((a, "a"), (b, "b"))]
+    pairs = spatial.iou_classes(*classes, 2.0, ["k"])
+    assert {(r.pred, r.truth, r.iou) for r in validate.greedy_class_matches(pairs, *classes, ["k"], "id").collect()} == want and want
+    pairs = spatial.iou_pairs(a, b, 2.0, ["k"])
+    assert {(r.pred, r.truth, r.iou) for r in validate.greedy_matches(pairs, ["k"], "a_id", "b_id").collect()} == want
+
+
 def test_metrics_table(spark):
     df = spark.createDataFrame([("run", 0.5, 3)], "name string, f1 double, n long")
     assert validate.metrics_table(df, "name", ["f1", "n"]).splitlines()[-1] == "| run | 0.5000 | 3 |"

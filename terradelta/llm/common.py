@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import new_path, saved, small
+from ..sources.scratch import let_go, new_path, saved, small
 
-__all__ = ["held", "lone", "long_rows", "new_path", "parts", "saved", "small", "table", "texts", "utf8"]
+__all__ = ["held", "let_go", "lone", "long_rows", "new_path", "parts", "saved", "small", "table", "texts", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, parts, saved, small, utf8
+from .common import held, let_go, parts, saved, small, utf8
 from .components import components
 
 CHUNK, BITS = 4, 16
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
     stars = saved(keys.join(centres, "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct(), "stars")
 
     involved = saved(nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version"), "involved")
+    let_go(docs.sparkSession)
     sets = full_sets(docs, involved, involved.count(), width, id_col, text)
     facts = nodes.select("node", "n", *(w.alias(f"w{i}") for i, w in enumerate(packed(F.col("signature"), symbols))))
 
@@ -273,6 +274,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
 
     first = saved(confirmed(stars.join(side(facts, "a"), "a").join(side(facts, "b"), "b").filter(close("a", "b")).select("a", "b")), "confirmed")
     found = components(first)
+    let_go(docs.sparkSession)
 
     part = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
     members = stars.unionByName(stars.select(F.col("b").alias("a"), "b").distinct())
@@ -280,7 +282,9 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, id_col: str = "do
     torn = members.groupBy("b").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("n > 2 AND x <> y").select("b")
     # this table and those of blocks are written, so that the joins with them may split a large star's rows
     torn = saved(torn.join(part("b", "_p"), "b", "left").select("b", F.coalesce("_p", "b").alias("home")), "torn")
-    final = components(first.unionByName(saved(links_in_stars(members.join(torn, "b"), sets, percent), "star-links")))
+    in_stars = saved(links_in_stars(members.join(torn, "b"), sets, percent), "star-links")
+    let_go(docs.sparkSession)
+    final = components(first.unionByName(in_stars))
 
     linked = saved(nodes.select("d1", "d2", "doc_id", "node").join(final, "node"), "linked")
     # written, so that the join may split a large component

@@ -113,6 +113,29 @@ def test_signature_distance_is_found_by_keys(spark):
     assert all(r.x and r.y for r in common.collect())
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_few_links_take_few_jobs(spark, monkeypatch, few):
+    """One task and the star steps give the same; with few links a dozen jobs would fill the driver for nothing."""
+    from terradelta.operators import graph
+
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(500, 540)] + [(7, 7), (None, 3)]
+    for kind, of in (("long", lambda x: x), ("string", lambda x: None if x is None else f"{x:04}é")):
+        want = {}
+        for a, b in pairs:
+            if None not in (a, b) and a != b:
+                united = want.get(of(a), {of(a)}) | want.get(of(b), {of(b)})
+                want.update(dict.fromkeys(united, united))
+        links = spark.createDataFrame([(of(a), of(b)) for a, b in pairs], f"x {kind}, y {kind}")
+        spark.sparkContext.setJobGroup(f"few-{few}-{kind}", "links")
+        got = sorted(map(tuple, components.components(links).collect()))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-{few}-{kind}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == sorted((node, min(united)) for node, united in want.items())
+        assert few == 0 or jobs <= 10
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [tuple(x) for x in rng.integers(0, 400, (260, 2)).tolist()] + [(i, i + 1) for i in range(500, 540)] + [(600, i) for i in range(601, 700)] + [(None, 3), (7, 7)]

@@ -1,7 +1,6 @@
 """Operator 8: token counts by a map-side lookup in two tiers, without a shuffle of words.
 
-The first tier is a compact table of the commonest words' token counts, made from a bounded sample and broadcast; the
-second is a cache in each worker, filled by the tokenizer for words that the table lacks. Both only save work: every
+The first tier is a compact table of the token counts of all texts' commonest words, broadcast; the second is a cache in each worker, filled by the tokenizer for words that the table lacks. Both only save work: every
 text is counted whole, and every count is the library's.
 
 A word here is a run without white space. The file's normaliser and pre-tokenizer never look across white space, so a
@@ -26,10 +25,12 @@ from tokenizers import Tokenizer
 from .common import held, texts
 from .tokens import _single_thread, in_groups
 
-#: Documents in the sample, and words in the table that is made from it.
-SAMPLE_DOCS, TABLE_WORDS = 4000, 50_000
+#: Words in the table, and the length of the longest of them: longer ones are left to the cache and the tokenizer.
+TABLE_WORDS, TABLE_LENGTH = 50_000, 256
 #: Words in a worker's cache before it starts anew.
 CACHED = 600_000
+#: Different words that a task counts before it hands its counts on.
+COUNTED = 200_000
 ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -66,29 +67,40 @@ class Counts:
         return out
 
 
-def frequent_words(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE_DOCS, size: int = TABLE_WORDS) -> tuple[list[str], bytes]:
-    """The commonest words of about ``sample`` rows, at most ``size``, with their token counts (up to 255)."""
-    every = max(1, docs.count() // sample)
-    some = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.octet_length("text") < LONGEST) & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0))
+def frequent_words(docs: DataFrame, path: str, text: str = "text", size: int = TABLE_WORDS) -> tuple[list[str], bytes]:
+    """The commonest words of all rows, at most ``size`` (of equals the lesser ones), with their token counts (up to 255).
+
+    Every text is counted whole; a task sums its words first, so that only different words are shuffled.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("word counts", None, lambda: None)
         seen: Counter = Counter()
+
+        def counts() -> pa.RecordBatch:
+            short = {w: n for w, n in seen.items() if len(w) <= TABLE_LENGTH}
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(short.values(), pa.int64())], ["word", "n"])
+
         for batch in batches:
             for t in texts(batch, "text"):
                 seen.update(t.split())
+                if len(seen) > COUNTED:
+                    yield counts()
+        yield counts()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = _single_thread(Tokenizer.from_file(path))
-        top = [w for w, _ in seen.most_common(size)]
+        top = [w for batch in batches for w in batch.column(0).to_pylist()]
         pairs = [(w, len(e)) for w, e in zip(top, tk.encode_batch_fast(top, add_special_tokens=False), strict=True) if len(e) < 256]
         yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in pairs]], pa.list_(pa.string())), pa.array([bytes(n for _, n in pairs)], pa.binary())], ["words", "lengths"])
 
-    got = some.repartition(1).mapInArrow(count, "words array<string>, lengths binary").collect()
+    every = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    top = every.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    got = top.select("word").mapInArrow(measure, "words array<string>, lengths binary").collect()
     return (list(got[0]["words"]), bytes(got[0]["lengths"])) if got else ([], b"")
 
 
-#: Longer texts are left out of the sample (only there), which bounds its bytes.
-LONGEST = 50_000
-
-
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes`` (UTF-8) and ``n_tokens``."""
     table = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path, text))

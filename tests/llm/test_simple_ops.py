@@ -460,3 +460,16 @@ def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.op9_language(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out and length(text) > 100").collect()
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.95
+
+
+def test_frequent_words_are_counted_over_all_texts(spark, monkeypatch):
+    """Long texts and each of many rows count, copies too: nothing is drawn."""
+    from terradelta.llm import token_counts
+    from terradelta.llm.tokens import tokenizer_path
+
+    monkeypatch.setattr(token_counts, "COUNTED", 3)
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = [(1, "huge " * 20_000)] + [(i, f"copy few{i % 3}") for i in range(9000)] + [(9001, None), (9002, "w" * 300)]
+    words, lengths = token_counts.frequent_words(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert words == ["huge", "copy", "few0", "few1", "few2"] and len(lengths) == 5
+    assert token_counts.frequent_words(spark.createDataFrame([], "doc_id long, text string"), path) == ([], b"")
